@@ -1 +1,13 @@
-"""Name resolution on Spark."""
+"""Name resolution and training-data analytics on Spark."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+
+def reach_workers(spark) -> None:
+    """Lets Python workers import this package where the folder it lies in is mounted; elsewhere ship it with --py-files."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
