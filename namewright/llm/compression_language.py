@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 #: Bounds of the sample from which the dictionaries are made: documents a language, characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 96, 1500
+SAMPLE_DOCS, SAMPLE_CHARS = 200, 1000
 #: Bytes compressed at once: the dictionary, not the text's own past, explains most of so short a block.
-BLOCK = 3000
-LEVEL = 1
+BLOCK = 2000
+LEVEL = 5
 #: Scores below this are narrow margins.
 NARROW = 0.02
 
@@ -25,7 +25,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     """Raw-content dictionaries, by language, of a bounded sample of the labelled documents that are not held out.
 
     The sample of a language: the documents first in order of md5(doc_id), of each the middle ``chars`` characters in lower
-    case. Languages without a letter in their sample get none.
+    case. Each half of it is classified by dictionaries of the other, and documents that these put elsewhere, such as wrongly
+    labelled ones, are left out. Languages without a letter in their sample get none.
     """
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("__lang"))
     first = Window.partitionBy("__lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
@@ -35,10 +36,26 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     middle = F.substring(text, F.greatest(F.lit(1), ((F.length(text) - chars) / 2).cast("int")), F.lit(chars))
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id")).select("__lang", "doc_id", middle.alias("t")).collect()
     parts: dict[str, list] = {}
-    for r in rows:
-        parts.setdefault(r["__lang"], []).append((r["doc_id"], r["t"]))
-    out = {lang: "\n".join(t for _, t in sorted(p)) for lang, p in sorted(parts.items())}
-    return {lang: t.encode() for lang, t in out.items() if any(c.isalpha() for c in t)}
+    for r in sorted(rows, key=lambda r: (r["__lang"], r["doc_id"], r["t"])):
+        parts.setdefault(r["__lang"], []).append(r["t"])
+    return _dictionaries(cleaned(parts))
+
+
+def _dictionaries(parts: dict[str, list[str]]) -> dict[str, bytes]:
+    joined = {lang: "\n".join(texts) for lang, texts in sorted(parts.items())}
+    return {lang: t.encode("utf-8", "surrogatepass") for lang, t in joined.items() if any(map(str.isalpha, t))}
+
+
+def cleaned(parts: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The sample without texts that dictionaries of the other half put into another language; small samples stay as they are."""
+    if len(parts) < 2 or min(map(len, parts.values())) < 8:
+        return parts
+    out: dict[str, list[str]] = {lang: [] for lang in parts}
+    for half in (0, 1):
+        known = CompressionClassifier(_dictionaries({lang: texts[1 - half :: 2] for lang, texts in parts.items()}))
+        for lang, texts in parts.items():
+            out[lang] += [t for t in texts[half::2] if known.classify(t)[0] in (lang, UNKNOWN)]
+    return {lang: texts or parts[lang] for lang, texts in out.items()}
 
 
 class CompressionClassifier:
