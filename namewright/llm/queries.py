@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import reach_workers
-from . import ball_tree, compression_language, grace_dedup, mixture, packing, token_counts, token_files
+from . import ball_tree, compression_language, grace_dedup, mixture, packing, partenum, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_language.identify(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ball_tree": op3_ball_tree,
     "op4_mixture": op4_mixture,
     "op6_token_files": op6_token_files,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
