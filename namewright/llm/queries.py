@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import reach_workers
-from . import ball_tree, compression_language, grace_dedup, mixture, packing, partenum, token_counts, token_files
+from . import ball_tree, compression_language, grace_dedup, mixture, packing, partenum, secret_forest, token_counts, token_files, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +39,23 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_table(spark, sf_dir, "documents"))
 
 
+#: Fixed rules of the query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_templates.judge(pages, url_templates.labels_of_pages(pages, _table(spark, sf_dir, "labels")), URL_RULES)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ball_tree": op3_ball_tree,
     "op4_mixture": op4_mixture,
+    "op5_url_templates": op5_url_templates,
     "op6_token_files": op6_token_files,
+    "op7_secret_scan": op7_secret_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
