@@ -15,15 +15,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def exact_neighbors(queries: DataFrame, corpus: DataFrame, k: int, block: int = 2048, shards: int | None = None) -> DataFrame:
+#: Vectors that a task holds at most of the corpus, and of the queries.
+SHARD, QUERIES = 200_000, 50_000
+
+
+def exact_neighbors(queries: DataFrame, corpus: DataFrame, k: int, block: int = 2048, shard: int = SHARD, part: int = QUERIES) -> DataFrame:
     """(query_id, target_id, score, rank): the k largest inner products, own row left out, ties to smaller ids. Both: (id, v).
 
-    Query blocks meet corpus shards: blocks are sent once a shard, each task multiplies two matrices and keeps k a query.
+    Parts of the queries meet shards of the corpus, both of bounded size; each task multiplies matrices and keeps k a query.
     """
-    spark = queries.sparkSession
-    shards = shards or 2 * spark.sparkContext.defaultParallelism
-    c = corpus.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "v")
+    shards = max(2 * queries.sparkSession.sparkContext.defaultParallelism, -(-corpus.count() // shard))
+    parts = max(1, -(-queries.count() // part))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    c = corpus.select("id", "v", own(shards).alias("shard"), every(parts).alias("part"))
+    q = queries.select("id", "v", own(parts).alias("part"), every(shards).alias("shard"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -31,9 +37,9 @@ def exact_neighbors(queries: DataFrame, corpus: DataFrame, k: int, block: int =
             right = right.sort_values("id")
             ids, m = right["id"].to_numpy(), np.stack(right["v"].to_numpy()).astype(np.float64)
             for at in range(0, len(left), block):
-                part = left.iloc[at : at + block]
-                q_ids = part["id"].to_numpy()
-                s = np.round(np.stack(part["v"].to_numpy()).astype(np.float64) @ m.T, DIGITS)
+                few = left.iloc[at : at + block]
+                q_ids = few["id"].to_numpy()
+                s = np.round(np.stack(few["v"].to_numpy()).astype(np.float64) @ m.T, DIGITS)
                 s[q_ids[:, None] == ids[None, :]] = -np.inf
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 score = np.take_along_axis(s, top, 1)
@@ -41,7 +47,7 @@ def exact_neighbors(queries: DataFrame, corpus: DataFrame, k: int, block: int =
         found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "target_id": [], "score": []})
         return found[np.isfinite(found["score"].astype(float))]
 
-    rows = q.groupBy("shard").cogroup(c.groupBy("shard")).applyInPandas(best, "query_id long, target_id long, score double")
+    rows = q.groupBy("shard", "part").cogroup(c.groupBy("shard", "part")).applyInPandas(best, "query_id long, target_id long, score double")
     return ranked(rows, k)
 
 

@@ -33,7 +33,7 @@ def test_exact_neighbors_match_numpy_in_any_partitioning(spark):
     x, df = vectors(spark)
     want = {(q, int(t)) for q in range(20) for t in [i for i in np.argsort(-np.round(x @ x[q], 9), kind="stable") if i != q][:5]}
     for parts in (1, 7):
-        got = retrieval.exact_neighbors(df.filter("id < 20").repartition(parts), df.repartition(parts), 5, block=6)
+        got = retrieval.exact_neighbors(df.filter("id < 20").repartition(parts), df.repartition(parts), 5, block=6, shard=20, part=7)
         assert {(r.query_id, r.target_id) for r in got.collect()} == want
 
 
