@@ -128,4 +128,16 @@ b as (
 u as (select source, min_by(h, (off, h)) as upto from b group by source)
 select d.doc_id, d.size, g.source_size, g.target, d.size * (g.whole + (d.h <= u.upto)::bigint) as taken
 from d join g on d.source is not distinct from g.source join u on d.source is not distinct from u.source""",
+    "op8_jaccard_join": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g
+  from d),
+e as (select doc_id, len(g) as n, unnest(g) as x from s),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select u, v from p where 100 * c >= 75 * (na + nb - c) union all select v, u from p where 100 * c >= 75 * (na + nb - c)),
+r(doc_id, m) as (select doc_id, doc_id from documents union select l.v, r.m from r join l on l.u = r.doc_id)
+select s.doc_id, len(g)::bigint as n_shingles, min(m) as component_id from s join r using (doc_id) group by s.doc_id, g""",
 }
