@@ -8,8 +8,9 @@ its signature. A set near a band's end takes the next band's signatures too. Set
 
 Pairs that share a signature are candidates. Their parity sketches, of about a bit a feature, differ in no more bits than
 the sets differ in features, which drops nearly all false ones exactly; the complete sets decide on the rest.
-Groups of more than SMALL sets with a signature aren't paired: each is linked with the group's least, the components of
-the links found are formed, and only sets of different components are held against each other, in blocks.
+Groups of more than SMALL sets with a signature aren't paired: each is held against the group's least, the components of
+the links found are formed, and then only sets of different components are held against each other, in blocks of the
+families that large groups with the same least member make up.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def _signature_blocks(n_buckets: int):
 
 
 def _groups(batches):
-    """Of the signatures of a bucket: candidate pairs (u < v), and the members of groups too large to be paired."""
+    """Of the signatures of a bucket: candidate pairs (u < v); of groups too large to be paired the pairs with the least member."""
     bucket, parts = None, []
 
     def groups():
@@ -165,16 +166,14 @@ def _groups(batches):
                 m = doc[own[:, None] + np.arange(g)]
                 i, j = np.triu_indices(g, 1)
                 found.append(np.unique(np.stack((m[:, i].ravel(), m[:, j].ravel()), 1), axis=0))
-        lists: dict[bytes, np.ndarray] = {}
-        for a, g in zip(start[size > SMALL], size[size > SMALL], strict=True):
-            lists[doc[a : a + g].tobytes()] = doc[a : a + g]
-        found += [np.stack((np.full(len(m) - 1, m[0]), m[1:]), 1) for m in lists.values()]
         pairs = np.unique(np.concatenate(found), axis=0)
-        for at in range(0, len(pairs), 100_000):
-            p = pairs[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.list_(pa.int64()))], ["u", "v", "members"])
-        for m in lists.values():
-            yield pa.RecordBatch.from_arrays([pa.array(m[:1]), pa.array(m[-1:]), pa.array([m], pa.list_(pa.int64()))], ["u", "v", "members"])
+        big = size > SMALL
+        inside = _concat(start[big] + 1, size[big] - 1)
+        stars = np.unique(np.stack((doc[np.repeat(start[big], size[big] - 1)], doc[inside]), 1), axis=0)
+        for edges, large in ((pairs, False), (stars, True)):
+            for at in range(0, len(edges), 100_000):
+                p = edges[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(np.full(len(p), large))], ["u", "v", "large"])
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -253,8 +252,8 @@ class _Join:
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         n_buckets = 4 * self.n
         blocks = self.rows.filter("doc_id is not null").mapInArrow(_signature_blocks(n_buckets), "bucket int, sigs binary, docs binary")
-        found = written(blocks.repartition(self.n, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "u long, v long, members array<long>"), "groups")
-        return found.filter("members is null").select("u", "v").distinct(), found.filter("members is not null").select("members").distinct()
+        found = written(blocks.repartition(self.n, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "u long, v long, large boolean"), "groups")
+        return found.select("u", "v").distinct(), found.filter("large").select("u", "v").distinct()
 
     def _side(self, of: DataFrame, side: str, *columns: str) -> DataFrame:
         return of.select(F.col("doc_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
@@ -273,12 +272,12 @@ class _Join:
         both = pairs.join(b, F.col("v") == F.col("b_id")).join(a, F.col("u") == F.col("a_id"))
         return written(both.select("u", "v", "a_features", "b_features").mapInArrow(_similar, "u long, v long"), "links")
 
-    def across(self, groups: DataFrame, labels: DataFrame, limit: int | None) -> DataFrame:
-        """Close pairs of different components in the groups that hold several."""
-        member = groups.withColumn("group", F.xxhash64("members")).select("group", F.posexplode("members").alias("nth", "doc"))
-        member = member.join(labels, F.col("doc") == F.col("node"), "left").select("group", "nth", "doc", F.coalesce("component", "doc").alias("comp"))
+    def across(self, stars: DataFrame, labels: DataFrame, limit: int | None) -> DataFrame:
+        """Close pairs of different components in the families that hold several: all large groups with the same least member are one family."""
+        member = stars.select(F.col("u").alias("group"), F.col("v").alias("doc")).unionByName(stars.select(F.col("u").alias("group"), F.col("u").alias("doc")).distinct())
+        member = member.join(labels, F.col("doc") == F.col("node"), "left").select("group", "doc", F.coalesce("component", "doc").alias("comp"))
         open_ = member.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last")).filter("low <> high").select(F.col("group").alias("g"), "last")
-        member = member.join(open_, F.col("group") == F.col("g")).withColumn("block", F.floor(F.col("nth") / BLOCK).cast("int"))
+        member = member.join(open_, F.col("group") == F.col("g")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("last") + 1).cast("int"))
         member = member.join(self._side(self.known, "k", "n_shingles", "sketch"), F.col("doc") == F.col("k_id"))
         unit = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
         unit = unit.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "doc", "comp", "k_n_shingles", "k_sketch")
@@ -294,12 +293,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts stands for it. No documents, no rows.
     """
     join = _Join(docs)
-    pairs, groups = join.candidates()
+    pairs, stars = join.candidates()
     links = join.links(join.close(pairs))
     labels = components(links)
-    if not groups.isEmpty():
+    if not stars.isEmpty():
         for limit in ROUNDS:
-            more = join.across(groups, labels, limit)
+            more = join.across(stars, labels, limit)
             links = links.unionByName(join.links(more))
             labels = components(links)
     labels = labels.select(F.col("node").alias("__node"), "component")
