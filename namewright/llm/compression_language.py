@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import drawn
+
 UNKNOWN = "und"
 #: Bounds of the sample from which the dictionaries are made: documents a language, characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 1000
@@ -29,6 +31,9 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     labelled ones, are left out. Languages without a letter in their sample get none.
     """
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("__lang"))
+    n = {r["__lang"]: r["count"] for r in ids.groupBy("__lang").count().collect()}  # a row a language
+    share = F.coalesce(*[F.when(F.col("__lang") == x, F.lit(min(1.0, 1.25 * per_language / c + 20 / c))) for x, c in n.items()], F.lit(0.0))
+    ids = ids.filter(drawn(F.col("doc_id")) <= share)
     first = Window.partitionBy("__lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     ids = ids.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= per_language).select(F.col("doc_id").alias("__id"), "__lang").distinct()
     few = F.broadcast(ids)  # per_language rows of each language
