@@ -3,8 +3,9 @@
 Sets are put into bands by size. For a band, a hash deals the feature domain to P partitions, and the content of each
 partition that isn't empty is a signature. Two sets at Jaccard similarity 3/4 or more differ in at most (a + b) / 7
 features, so if one of them fills more partitions than that, a partition with the same content is among them: both have
-its signature. A set near a band's end takes the next band's signatures too. Sets that fill too few partitions
-(where chance put many features together) also have one signature a feature, which they share with their like.
+its signature. A set near a band's end takes the next band's signatures too. Features that a
+sample shows to be frequent, such as passages of many documents, are left out at first; sets that fill too few partitions
+without them have the signatures of all their features too, and, if these are still too few, one a feature.
 
 Pairs that share a signature are candidates. Their parity sketches, of about a bit a feature, differ in no more bits than
 the sets differ in features, which drops nearly all false ones exactly; the complete sets decide on the rest.
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import drawn, written
 from .shingles import mixed, shingle_sets
 
 #: Similarity as a fraction; features of a pair that may differ: (a + b) * (DEN - NUM) // (DEN + NUM).
 NUM, DEN = 3, 4
 #: Partitions a feature of a band's largest set; sets up to which a group is paired; sets a block; signatures held before they are sent.
-SHARE, SMALL, BLOCK, HELD = 0.31, 16, 1024, 1_500_000
+SHARE, SMALL, BLOCK, HELD = 0.36, 16, 1024, 1_500_000
+#: Bounds of what is held frequent: documents of the sample, documents of it that a feature is in, features. Results don't depend on them.
+SAMPLE, OFTEN, FREQUENT = 8192, 3, 200_000
 #: Pairs of two components in a block that are tried before the components are formed anew; at last all.
 ROUNDS = (4, None)
 
@@ -43,10 +46,17 @@ def _concat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of sets given as sorted hashes and bounds."""
+def signatures(values: np.ndarray, bounds: np.ndarray, frequent: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of sets given as sorted hashes and bounds; ``frequent``: sorted features that level 0 leaves out.
+
+    Level 0 has the partitions without frequent features, level 1, of sets that fill too few partitions there, those of all
+    features, level 2, of sets that still fill too few, each feature. A pair that may differ in fewer features than one of
+    both fills partitions at a level meets there; else both take the next level, and a feature in common suffices for the last.
+    """
     n = np.diff(bounds)
     band = band_of(np.maximum(n, 1))
+    at = np.searchsorted(frequent, values)
+    rare = frequent[np.minimum(at, len(frequent) - 1)] != values if len(frequent) else np.ones(len(values), bool)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     next_band = (n > 0) & (n * DEN >= NUM * (1 << (band + 1)))
     for rows, bands in ((np.flatnonzero(n > 0), band), (np.flatnonzero(next_band), band + 1)):
@@ -54,21 +64,27 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
             d = rows[bands[rows] == j]
             largest = (1 << (int(j) + 1)) - 1
             parts = int(np.ceil(SHARE * largest)) + 1
-            own = np.repeat(np.arange(len(d)), n[d])
-            v = values[_concat(bounds[:-1][d], n[d])]
-            key = own * np.int64(parts) + (mixed(v ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            content = np.add.reduceat(mixed(v[order] + np.uint64(5)), first)
-            who, part = key[first] // parts, key[first] % parts
-            out.append((mixed(content + mixed(part.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(2 * j))), d[who]))
             most = (n[d] + np.minimum(n[d] * DEN // NUM, largest)) * (DEN - NUM) // (DEN + NUM)  # features by which a pair may differ
-            few = np.flatnonzero(np.bincount(who, minlength=len(d)) <= most)
-            if len(few):
-                d = d[few]
-                v = values[_concat(bounds[:-1][d], n[d])]
-                out.append((mixed(v + np.uint64(2 * j + 1)), np.repeat(d, n[d])))
+            for level in (0, 1, 2) if len(frequent) else (1, 2):
+                if not len(d):
+                    break
+                own = np.repeat(np.arange(len(d)), n[d])
+                index = _concat(bounds[:-1][d], n[d])
+                if level == 0:
+                    own, index = own[rare[index]], index[rare[index]]
+                v = values[index]
+                if level == 2:
+                    out.append((mixed(v + np.uint64(3 * j + level)), d[own]))
+                    break
+                key = own * np.int64(parts) + (mixed(v ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+                content = np.add.reduceat(mixed(v[order] + np.uint64(5)), first) if len(key) else v
+                who, part = key[first] // parts, key[first] % parts
+                out.append((mixed(content + mixed(part.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(3 * j + level))), d[who]))
+                few = np.bincount(who, minlength=len(d)) <= most
+                d, most = d[few], most[few]
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -113,7 +129,13 @@ def _profile(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(sketches(values, bounds), pa.binary())], ["doc_id", "n_shingles", "sketch"])
 
 
-def _signature_blocks(n_buckets: int):
+def _features(batches):
+    for batch in batches:
+        for _, values, _ in shingle_sets(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["feature"])
+
+
+def _signature_blocks(n_buckets: int, frequent: np.ndarray):
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -134,7 +156,7 @@ def _signature_blocks(n_buckets: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for at, values, bounds in shingle_sets(batch.column(1)):
-                sig, row = signatures(values, bounds)
+                sig, row = signatures(values, bounds, frequent)
                 if len(sig):
                     held.append((sig, ids[at + row]))
                 if sum(len(s) for s, _ in held) > HELD:
@@ -249,9 +271,16 @@ class _Join:
         self.profile = written(self.rows.mapInArrow(_profile, "doc_id long, n_shingles long, sketch binary"), "profile")
         self.known = self.profile.filter("doc_id is not null and n_shingles > 0").dropDuplicates(["doc_id"])
 
+    def frequent(self) -> np.ndarray:
+        """Features of several documents of a bounded sample by md5 of doc_id. They only steer which signatures are made, never which links are found."""
+        share = min(1.0, SAMPLE / max(1, self.known.count()))
+        counts = self.rows.filter("doc_id is not null").filter(drawn(F.col("doc_id")) < share).select("text").mapInArrow(_features, "feature long").groupBy("feature").count().filter(F.col("count") >= OFTEN)
+        found = counts.orderBy(F.desc("count"), "feature").limit(FREQUENT).select("feature").toArrow()
+        return np.sort(found.column(0).to_numpy().view(np.uint64))
+
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         n_buckets = 4 * self.n
-        blocks = self.rows.filter("doc_id is not null").mapInArrow(_signature_blocks(n_buckets), "bucket int, sigs binary, docs binary")
+        blocks = self.rows.filter("doc_id is not null").mapInArrow(_signature_blocks(n_buckets, self.frequent()), "bucket int, sigs binary, docs binary")
         found = written(blocks.repartition(self.n, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "u long, v long, large boolean"), "groups")
         return found.select("u", "v").distinct(), found.filter("large").select("u", "v").distinct()
 

@@ -278,6 +278,9 @@ def test_signatures_are_shared_by_similar_sets():
             a, b = np.sort(a), np.sort(b)
             sig, row = partenum.signatures(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
             assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+            for often in (a[::2], np.concatenate((a, b))):
+                sig, row = partenum.signatures(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), np.unique(often))
+                assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
             x, y = partenum.sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
             assert partenum._close(len(a), int.from_bytes(x, "little"), 8 * len(x), len(b), int.from_bytes(y, "little"), 8 * len(y))
 
