@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import caches
+
 _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = f" {_WHITE}|{_WHITE} "
 #: Letters up to here have one lower-case letter each and are in composed form (U+0130 is beyond).
@@ -31,7 +33,7 @@ def _strings(values: pa.Array) -> list[str]:
 class PieceEncoder:
     """Encodes Arrow string arrays. ``cache``: the most pieces, and the most pre-tokens, whose ids are remembered."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok, self.cache = Tokenizer.from_file(path), cache
@@ -125,8 +127,13 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str, cache: int = 500_000) -> PieceEncoder:
-    """One encoder for each file and worker process."""
+def encoder(path: str, cache: int = 250_000) -> PieceEncoder:
+    """One encoder for each worker process, that of the last file; what other operators remember is dropped."""
+    caches.take("encoding")
     if (path, cache) not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path, cache] = PieceEncoder(path, cache)
     return _ENCODERS[path, cache]
+
+
+caches.register("encoding", _ENCODERS.clear)

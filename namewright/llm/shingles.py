@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from . import caches
+
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -22,7 +24,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words; the most common ones are remembered."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         from xxhash import xxh3_64_intdigest
 
@@ -36,6 +38,7 @@ class WordHashes(dict):
 
 
 _WORDS: list[WordHashes] = []
+caches.register("shingles", _WORDS.clear)
 
 
 def shingle_sets(texts: pa.Array, width: int = 5, at_once: int = 400_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -44,6 +47,7 @@ def shingle_sets(texts: pa.Array, width: int = 5, at_once: int = 400_000) -> Ite
     Words are runs of other than ASCII white space, A-Z in lower case. A text of fewer words than the width has one shingle,
     the sequence of all; one without words has none.
     """
+    caches.take("shingles")
     if not _WORDS:
         _WORDS.append(WordHashes())
     known, n_rows, at = _WORDS[0].__getitem__, len(texts), 0
