@@ -38,8 +38,9 @@ def test_query(spark, duck, name):
     from namewright.plans import registry
 
     got = registry.QUERIES[name](spark, SMALL).toPandas()
-    assert len(got) > 0
-    if name in registry.ORACLE_SQL:
+    if name not in registry.ORACLE_SQL:
+        assert len(got) > 0
+    else:
         want = duck.execute(registry.ORACLE_SQL[name]).fetchdf()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
