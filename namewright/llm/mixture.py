@@ -81,7 +81,8 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
     return written(docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), order_value(F.col("doc_id"), seed).alias("h")), "sizes")
 
 
-_TAKEN = F.col("whole") + F.when(F.col("__h") <= F.col("upto"), 1).otherwise(0)
+def _times() -> Column:
+    return F.col("whole") + F.when(F.col("__h") <= F.col("upto"), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, seed: int = 17, epochs: int = 3) -> DataFrame:
@@ -93,7 +94,7 @@ def mix(docs: DataFrame, seed: int = 17, epochs: int = 3) -> DataFrame:
     sized = _sized(docs, seed)
     plan = written(plan_mix(sized.select("source", "size", "h"), epochs), "plan")
     out = _with_plan(sized.select("doc_id", "size", F.col("h").alias("__h"), F.col("source").alias("__source")), plan)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _TAKEN).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, seed: int = 17, epochs: int = 3) -> DataFrame:
@@ -101,5 +102,5 @@ def repeat_rows(docs: DataFrame, seed: int = 17, epochs: int = 3) -> DataFrame:
     plan = written(plan_mix(_sized(docs, seed).select("source", "size", "h"), epochs), "plan")
     columns = docs.columns
     keyed = docs.withColumns({"__source": F.col("source").cast("string"), "__h": order_value(F.col("doc_id"), seed), "__size": words(F.col("text"))})
-    times = F.when(F.col("__size") == 0, 1).otherwise(_TAKEN).cast("int")
+    times = F.when(F.col("__size") == 0, 1).otherwise(_times()).cast("int")
     return _with_plan(keyed, plan).withColumn("__n", F.explode(F.array_repeat(F.lit(0), times))).select(*columns)
