@@ -1,6 +1,6 @@
 """Secret scans: a random forest removes false positives from candidates, with DataFrame functions only.
 
-A candidate is a word with a run of 16 or more characters of identifiers and encodings. The forest sees its length, its
+A candidate is a run of 16 or more characters of identifiers and encodings; a word may have several. The forest sees its length, its
 character transitions, how much of it a dictionary covers, where it stands and its neighbouring words. It is grown level
 by level from sums over (tree, node, feature, bin) of a bounded sample of labelled findings, and applied as an expression.
 """
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 RUN = "[A-Za-z0-9+/_-]{16,}"
+#: What ends a field of a word, as in JSON and queries; no run has one.
+FIELDS = r"[,;&?|(){}\[\]<>]"
 #: Words that name secrets.
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key")
 #: Published shapes of issued keys.
@@ -25,15 +27,30 @@ SECRET = 0.5
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """A row for each candidate of whole texts: doc_id, path, position (word), word, run, before (what stands before it), next."""
+    """A row for each candidate of whole texts: doc_id, path, position (word), run_index (in the word), run, before (what stands before it), quoted, next.
+
+    Before the first run of a word stand the two earlier words and the word up to the run; before a later one, its own field of
+    the word (FIELDS end one) up to the run, so that a name in one-line JSON belongs to its own value only.
+    """
     words = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+")
     rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), words.alias("w")).filter(F.exists("w", lambda x: x.rlike(RUN)))
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(RUN))
     rows = rows.select("doc_id", "path", "w", F.explode(at).alias("position"))
     near = lambda k: F.coalesce(F.get("w", F.col("position") + k), F.lit(""))
     rows = rows.select("doc_id", "path", "position", near(0).alias("word"), F.concat_ws(" ", near(-2), near(-1)).alias("earlier"), near(1).alias("next"))
-    run = F.regexp_extract("word", f"({RUN})", 1)
-    return rows.withColumn("run", run).withColumn("before", F.concat(F.lower("earlier"), F.lit(" "), F.lower(F.expr("substring_index(word, run, 1)")))).drop("earlier")
+    first = F.concat(F.lower("earlier"), F.lit(" "), F.lower(F.expr("substring_index(word, run, 1)")))
+    rows = rows.withColumn("run", F.regexp_extract("word", f"({RUN})", 1)).withColumn("first", first).withColumn("quoted", F.col("word").rlike("[\"'`]"))
+    runs = F.flatten(F.transform(F.split("word", FIELDS), _runs))
+    rows = rows.select("doc_id", "path", "position", "first", "quoted", "next", F.posexplode(runs).alias("run_index", "found"))
+    before = F.when(F.col("run_index") == 0, F.col("first")).otherwise(F.lower("found.front"))
+    return rows.select("doc_id", "path", "position", "run_index", "found.run", before.alias("before"), "quoted", "next")
+
+
+def _runs(field: Column) -> Column:
+    """(run, front) of each run of a field; front is the field up to the run."""
+    runs, gaps = F.regexp_extract_all(field, F.lit(f"({RUN})")), F.split(field, RUN)
+    pieces = lambda i: F.zip_with(F.slice(runs, 1, i), F.slice(gaps, 2, i), lambda r, g: F.concat(r, g))
+    return F.transform(runs, lambda r, i: F.struct(r.alias("run"), F.concat(F.get(gaps, F.lit(0)), F.array_join(pieces(i), "")).alias("front")))
 
 
 def dictionary(docs: DataFrame) -> list[str]:
@@ -66,7 +83,7 @@ def features(known: list[str]) -> dict[str, Column]:
         "early": 1.0 / (1.0 + F.col("position")),
         "named": flag(F.col("before").rlike("|".join(NAMES))),
         "assigned": flag(F.col("before").rlike("[=:]\\s*[\"']?$")),
-        "quoted": flag(F.col("word").rlike("[\"'`]")),
+        "quoted": flag(F.col("quoted")),
         "next_known": flag(F.regexp_replace(F.lower("next"), "[^a-zà-öø-ÿ]", "").isin(known)) if known else F.lit(0.0),
     }
 
@@ -99,13 +116,13 @@ class Forest:
 
 
 def train(labelled: DataFrame, names: list[str], per_class: int = FINDINGS) -> Forest:
-    """A forest from a bounded sample of labelled findings: columns doc_id, position, y and the features.
+    """A forest from a bounded sample of labelled findings: columns doc_id, position, run_index, y and the features.
 
-    The sample: the first of each class in order of md5(doc_id, position). Bootstrap weights and the features tried at a node
+    The sample: the first of each class in order of md5(doc_id, position, run_index; a word's first run without the index). Bootstrap weights and the features tried at a node
     come from hashes, so training again gives the same forest. Without findings every score is 0, of one class its label.
     """
-    key = F.md5(F.concat_ws(":", "doc_id", "position").cast("binary"))
-    sample = labelled.withColumn("k", key).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("k", "position"))).filter(F.col("r") <= per_class)
+    key = F.md5(F.concat_ws(":", "doc_id", "position", F.when(F.col("run_index") > 0, F.col("run_index"))).cast("binary"))
+    sample = labelled.withColumn("k", key).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("k", "position", "run_index"))).filter(F.col("r") <= per_class)
     sample = written(sample.select("k", "y", *names), "findings")
     grid = [i / BINS for i in range(1, BINS)]
     row = sample.agg(F.avg("y").alias("prior"), *[F.percentile(n, F.array(*[F.lit(g) for g in grid])).alias(n) for n in names]).first()
@@ -159,7 +176,7 @@ def _best_splits(sums: list, edges: list, last: bool, values: dict) -> dict:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, position, length, score, is_secret, run_sha256: a row for each candidate of docs (doc_id, text, source).
+    """doc_id, position, run_index, length, score, is_secret, run_sha256: a row for each candidate of docs (doc_id, text, source).
 
     The value itself isn't returned. Null and empty texts have no candidates; repeated rows are scanned each; no documents, no
     rows. Labels come from the form of candidates (labelled_findings), the forest judges all.
@@ -169,4 +186,4 @@ def scan(docs: DataFrame) -> DataFrame:
     found = written(candidates(docs), "candidates").withColumns(columns)
     forest = train(labelled_findings(found), list(columns))
     score = forest.score()
-    return found.select("doc_id", F.col("position").cast("long").alias("position"), F.length("run").alias("length"), score.alias("score"), (score >= SECRET).alias("is_secret"), F.sha2("run", 256).alias("run_sha256"))
+    return found.select("doc_id", F.col("position").cast("long").alias("position"), "run_index", F.length("run").alias("length"), score.alias("score"), (score >= SECRET).alias("is_secret"), F.sha2("run", 256).alias("run_sha256"))

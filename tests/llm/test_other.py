@@ -108,6 +108,24 @@ def test_secret_scan(spark, make_docs, odd):
     assert secret_forest.scan(make_docs([])).count() == 0
 
 
+def test_secret_scan_judges_each_run_of_a_word(spark, make_docs):
+    import hashlib
+    import re
+
+    aws, github, jwt = "AKIA" + "Q7" * 8, "ghp_" + "aB3d" * 9, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9"
+    texts = [f'{{"a":"{aws}","b":"{github}"}}', f"see https://h.org/a-long-url-path-segment?key={aws}&next={github} there", f"token={jwt}", f'{{"secret":"{jwt}","identifier":"12345678901234567"}}', f"plain {github}"]
+    found = secret_forest.candidates(make_docs(list(enumerate(texts)))).collect()
+    want = {(i, p, k, m) for i, t in enumerate(texts) for p, w in enumerate(t.split(" ")) for k, m in enumerate(re.findall(secret_forest.RUN, w))}
+    assert {(r.doc_id, r.position, r.run_index, r.run) for r in found} == want and len(found) == len(want)
+    before = {(r.doc_id, r.run): r.before for r in found}
+    assert before[0, github] == '"b":"' and before[1, github] == "next=" and before[3, "12345678901234567"] == '"identifier":"'
+    assert before[2, jwt.split(".")[2]] == "token=" + ".".join(jwt.split(".")[:2]).lower() + "."
+    got = secret_forest.scan(make_docs([(i, texts[i % 5] if i % 4 == 0 else "internationalisations of words") for i in range(200)])).collect()
+    judged = {r.run_sha256: r.is_secret for r in got}
+    assert judged[hashlib.sha256(aws.encode()).hexdigest()] and judged[hashlib.sha256(github.encode()).hexdigest()]
+    assert len(got) == len({(r.doc_id, r.position, r.run_index) for r in got})
+
+
 def test_pipeline(spark, make_docs, tmp_path):
     import corpus_pipeline
     from namewright.llm import compression_language, grace_dedup, partenum
