@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Segments below which a template says ``**``; labelled pages that a branch and its siblings need; z from which they differ.
+#: Segments below which a template says ``**``; labelled pages that a branch and its siblings together need; z from which they differ.
 DEPTH, LEAST, Z = 4, 5, 2.58
 #: Times that branches are set apart and the rest is tested again.
 ROUNDS = 2
@@ -49,15 +49,18 @@ def _branch(segment: Column) -> Column:
 
 
 def _apart(stats: DataFrame) -> DataFrame:
-    """(k_host, k_template, k_branch) of branches that stay apart: in each round those that differ from the rest on the side of the one that differs most."""
+    """(k_host, k_template, k_branch) of branches that stay apart: in each round those that differ from the rest on the side of the one that differs most.
+
+    stats: every branch with labelled pages. Small ones aren't tested, but count in the rest that the others are tested against.
+    """
     out = None
     for _ in range(ROUNDS):
         whole = stats.groupBy(F.col("host").alias("w_host"), F.col("template").alias("w_template")).agg(F.sum("l").alias("wl"), F.sum("b").alias("wb"))
         rest_l, rest_b = F.col("wl") - F.col("l"), F.col("wb") - F.col("b")
-        pooled = F.col("wb") / F.col("wl")
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / rest_l))
-        z = F.coalesce(F.try_divide(F.col("b") / F.col("l") - rest_b / rest_l, spread), F.lit(0.0))
-        tested = stats.join(whole, (F.col("host") == F.col("w_host")) & (F.col("template") == F.col("w_template"))).filter(rest_l >= LEAST)
+        pooled = F.try_divide("wb", "wl")
+        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "l") + F.try_divide(F.lit(1), rest_l)))
+        z = F.coalesce(F.try_divide(F.try_divide("b", "l") - F.try_divide(rest_b, rest_l), spread), F.lit(0.0))
+        tested = stats.join(whole, (F.col("host") == F.col("w_host")) & (F.col("template") == F.col("w_template"))).filter((F.col("l") >= LEAST) & (rest_l >= LEAST))
         tested = tested.select(F.col("host").alias("k_host"), F.col("template").alias("k_template"), F.col("branch").alias("k_branch"), z.alias("z")).filter(F.abs("z") > Z)
         side = tested.groupBy(F.col("k_host").alias("s_host"), F.col("k_template").alias("s_template")).agg(F.signum(F.max_by("z", F.abs("z"))).alias("side"))
         met = (F.col("k_host") == F.col("s_host")) & (F.col("k_template") == F.col("s_template")) & (F.signum("z") == F.col("side"))
@@ -79,7 +82,7 @@ def template_tree(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
         here = F.size("segments") > level
         rows = rows.withColumn("branch", F.when(here, _branch(F.element_at("segments", level + 1))))
         stats = rows.filter(here).groupBy("host", "template", "branch").agg(F.sum("n_labelled").alias("l"), F.sum("n_bad").alias("b"))
-        apart = _apart(written(stats.filter(F.col("l") >= LEAST), "branches"))
+        apart = _apart(written(stats.filter("l > 0"), "branches"))
         rows = rows.join(apart, (F.col("host") == F.col("k_host")) & (F.col("template") == F.col("k_template")) & (F.col("branch") == F.col("k_branch")), "left")
         step = F.when(~here, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("k_branch", F.lit("*"))))
         rows = written(rows.select("host", "path", "n_labelled", "n_bad", "segments", step.alias("template")), "level")

@@ -89,6 +89,14 @@ def test_url_templates_reject_the_impure_branch(spark):
     assert {r.template for r in got} == {"h.org/spam/*", "h.org/*/*"}
 
 
+def test_url_templates_test_a_branch_against_many_small_siblings(spark):
+    urls = [f"http://h.org/spam/{i}" for i in range(100)] + [f"http://h.org/slug-{chr(97 + i % 25)}{chr(97 + i // 25)}/{j}" for i in range(500) for j in range(1 + i % 4)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_templates.judge(pages, pages.selectExpr("page_id", "url like '%/spam/%' as bad"), []).collect()
+    assert {r.path for r in got if r.verdict == "block"} == {f"/spam/{i}" for i in range(100)}
+    assert {r.template for r in got} == {"h.org/spam/*", "h.org/*/*"}
+
+
 def test_secret_scan(spark, make_docs, odd):
     rng = random.Random(3)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
