@@ -1,5 +1,7 @@
 """Metrics, invariants and scale paths of the name-resolution operators."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,20 @@ def test_inverted_file_recall(spark):
     assert {(r.query_id, r.target_id) for r in index.search(q, 5, 8).collect()} == exact
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_ivf_rescore_recall_at_its_own_settings(spark, sf):
+    from namewright.plans import queries
+
+    d = f"/root/testdata/{sf}"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    exact = {(int(ids[i]), int(t)) for i in np.flatnonzero(ids % 4 == 0) for t in [ids[j] for j in np.lexsort((ids, -np.round(x @ x[i], 9))) if j != i][:10]}
+    got = {(r.query_id, r.target_id) for r in queries.ivf_rescore(spark, d).collect()}
+    assert len(exact & got) >= 0.9 * len(exact)
+
+
 def test_numbered_by_is_dense_and_ordered(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5)
     assert [(r.k, r.n) for r in tables.numbered_by(df, "k", "n").orderBy("k").collect()] == [(i, i) for i in range(1000)]
