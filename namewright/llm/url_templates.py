@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Segments below which a template says ``**``; labelled pages that a branch and its siblings together need; z from which they differ.
-DEPTH, LEAST, Z = 4, 5, 2.58
-#: Times that branches are set apart and the rest is tested again.
-ROUNDS = 2
+#: Labelled pages that a branch and its siblings together need; z from which they differ.
+LEAST, Z = 5, 2.58
 #: Labelled pages that the prior counts as; purity below which a template is rejected.
 SMOOTH, PURE = 8.0, 0.5
 
@@ -51,10 +49,11 @@ def _branch(segment: Column) -> Column:
 def _apart(stats: DataFrame) -> DataFrame:
     """(k_host, k_template, k_branch) of branches that stay apart: in each round those that differ from the rest on the side of the one that differs most.
 
+    Rounds go on until no branch differs; nodes where a round found none are done.
     stats: every branch with labelled pages. Small ones aren't tested, but count in the rest that the others are tested against.
     """
     out = None
-    for _ in range(ROUNDS):
+    while True:
         whole = stats.groupBy(F.col("host").alias("w_host"), F.col("template").alias("w_template")).agg(F.sum("l").alias("wl"), F.sum("b").alias("wb"))
         rest_l, rest_b = F.col("wl") - F.col("l"), F.col("wb") - F.col("b")
         pooled = F.try_divide("wb", "wl")
@@ -66,27 +65,38 @@ def _apart(stats: DataFrame) -> DataFrame:
         met = (F.col("k_host") == F.col("s_host")) & (F.col("k_template") == F.col("s_template")) & (F.signum("z") == F.col("side"))
         found = written(tested.join(side, met).select("k_host", "k_template", "k_branch"), "apart")
         out = found if out is None else out.unionByName(found)
-        stats = stats.join(found, (F.col("host") == F.col("k_host")) & (F.col("template") == F.col("k_template")) & (F.col("branch") == F.col("k_branch")), "left_anti")
-    return out
+        if found.isEmpty():
+            return out
+        node = (F.col("host") == F.col("k_host")) & (F.col("template") == F.col("k_template"))
+        rest = stats.join(found.select("k_host", "k_template").distinct(), node, "left_semi")
+        stats = written(rest.join(found, node & (F.col("branch") == F.col("k_branch")), "left_anti"), "branches")
 
 
-def template_tree(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
+def template_tree(paths: DataFrame) -> DataFrame:
     """(host, path, template, purity) of distinct (host, path) with n_labelled and n_bad.
 
+    The tree grows to the longest path, or until no node can have a branch that differs: it needs labelled pages for two sides,
+    good and bad ones, which nodes below have no more of. All segments further down are ``*``.
+
     purity: share of good among the template's labelled pages, smoothed towards its host's, that towards that of all.
     """
     segments = F.split(F.regexp_replace(F.col("path"), "^/", ""), "/")
     rows = paths.select("host", "path", "n_labelled", "n_bad", segments.alias("segments"), F.lit("").alias("template"))
-    deepest = min(depth, rows.agg(F.max(F.size("segments"))).first()[0] or 0)
-    for level in range(deepest):
+    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
+    level = 0
+    while level < deepest:
         here = F.size("segments") > level
+        nodes = rows.filter(here).groupBy("host", "template").agg(F.sum("n_labelled").alias("l"), F.sum("n_bad").alias("b"))
+        if nodes.filter((F.col("l") >= 2 * LEAST) & (F.col("b") > 0) & (F.col("b") < F.col("l"))).isEmpty():
+            break
         rows = rows.withColumn("branch", F.when(here, _branch(F.element_at("segments", level + 1))))
         stats = rows.filter(here).groupBy("host", "template", "branch").agg(F.sum("n_labelled").alias("l"), F.sum("n_bad").alias("b"))
         apart = _apart(written(stats.filter("l > 0"), "branches"))
         rows = rows.join(apart, (F.col("host") == F.col("k_host")) & (F.col("template") == F.col("k_template")) & (F.col("branch") == F.col("k_branch")), "left")
         step = F.when(~here, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("k_branch", F.lit("*"))))
         rows = written(rows.select("host", "path", "n_labelled", "n_bad", "segments", step.alias("template")), "level")
-    rows = rows.withColumn("template", F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        level += 1
+    rows = rows.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.greatest(F.size("segments") - level, F.lit(0)))))
     good = lambda bad, n, prior: (F.col(n) - F.col(bad) + SMOOTH * prior) / (F.col(n) + SMOOTH)
     leaves = rows.groupBy("host", "template").agg(F.sum("n_labelled").alias("l"), F.sum("n_bad").alias("b"))
     hosts = leaves.groupBy(F.col("host").alias("h")).agg(F.sum("l").alias("hl"), F.sum("b").alias("hb"))

@@ -97,6 +97,17 @@ def test_url_templates_test_a_branch_against_many_small_siblings(spark):
     assert {r.template for r in got} == {"h.org/spam/*", "h.org/*/*"}
 
 
+def test_url_templates_grow_to_deep_branches_and_set_all_apart(spark):
+    urls = [(f"http://deep.org/a/b/c/d/e/{part}/{i}", part == "spam") for part in ("spam", "news") for i in range(40)]
+    share = {"a": 100, "b": 80, "c": 55, "d": 30, "e": 0}
+    urls += [(f"http://wide.org/{part}/{i}", i < n) for part, n in share.items() for i in range(100)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    marks = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(urls)], "page_id long, bad boolean")
+    got = url_templates.judge(pages, marks, []).collect()
+    assert {r.path.split("/")[6]: r.verdict for r in got if r.host == "deep.org"} == {"spam": "block", "news": "allow"}
+    assert len({r.template for r in got if r.host == "wide.org"}) == 5
+
+
 def test_secret_scan(spark, make_docs, odd):
     rng = random.Random(3)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
