@@ -52,15 +52,19 @@ def _dictionaries(parts: dict[str, list[str]]) -> dict[str, bytes]:
 
 
 def cleaned(parts: dict[str, list[str]]) -> dict[str, list[str]]:
-    """The sample without texts that dictionaries of the other half put into another language; small samples stay as they are."""
-    if len(parts) < 2 or min(map(len, parts.values())) < 8:
+    """The sample without texts that dictionaries of the other half put into another language.
+
+    Languages with fewer than 8 texts stay as they are and take no part; the others are checked against each other.
+    """
+    large = {lang: texts for lang, texts in parts.items() if len(texts) >= 8}
+    if len(large) < 2:
         return parts
-    out: dict[str, list[str]] = {lang: [] for lang in parts}
+    out: dict[str, list[str]] = {lang: [] for lang in large}
     for half in (0, 1):
-        known = CompressionClassifier(_dictionaries({lang: texts[1 - half :: 2] for lang, texts in parts.items()}))
-        for lang, texts in parts.items():
+        known = CompressionClassifier(_dictionaries({lang: texts[1 - half :: 2] for lang, texts in large.items()}))
+        for lang, texts in large.items():
             out[lang] += [t for t in texts[half::2] if known.classify(t)[0] in (lang, UNKNOWN)]
-    return {lang: texts or parts[lang] for lang, texts in out.items()}
+    return {lang: out.get(lang) or texts for lang, texts in parts.items()}
 
 
 class CompressionClassifier:

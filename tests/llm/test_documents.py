@@ -310,3 +310,19 @@ def test_language_id(make_docs, odd):
     assert compression_language.identify(make_docs([])).count() == 0
     kept = compression_language.keep_identified(make_docs(rows))
     assert kept.columns == odd.columns and kept.count() >= 0.97 * 300
+
+
+def test_language_samples_are_cleaned_beside_a_rare_language():
+    import random
+
+    from namewright.llm import compression_language
+
+    rng = random.Random(5)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(60)] for lang, letters in (("aa", "abcdefgh"), ("bb", "opqrstuv"))}
+    text = lambda lang: " ".join(rng.choices(words[lang], k=80))
+    parts = {lang: [text(lang) for _ in range(40)] for lang in words}
+    foreign = text("bb")
+    parts["aa"][7] = foreign
+    assert foreign not in compression_language.cleaned(parts)["aa"]
+    got = compression_language.cleaned({**parts, "a": parts["aa"][:3]})
+    assert {k: got[k] for k in parts} == compression_language.cleaned(parts) and got["a"] == parts["aa"][:3]
