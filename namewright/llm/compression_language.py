@@ -7,11 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import caches
 from .shared import drawn
 
 UNKNOWN = "und"
 #: Bounds of the sample from which the dictionaries are made: documents a language, characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 1000
+#: Bound of the languages learned: those with the most labelled documents.
+LANGUAGES = 500
 #: Bytes compressed at once: the dictionary, not the text's own past, explains most of so short a block.
 BLOCK = 2000
 LEVEL = 5
@@ -31,9 +34,9 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     labelled ones, are left out. Languages without a letter in their sample get none.
     """
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("__lang"))
-    n = {r["__lang"]: r["count"] for r in ids.groupBy("__lang").count().collect()}  # a row a language
-    share = F.coalesce(*[F.when(F.col("__lang") == x, F.lit(min(1.0, 1.25 * per_language / c + 20 / c))) for x, c in n.items()], F.lit(0.0))
-    ids = ids.filter(drawn(F.col("doc_id")) <= share)
+    most = ids.groupBy("__lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "__lang").limit(LANGUAGES)
+    most = most.select(F.col("__lang").alias("__name"), (1.25 * per_language / F.col("c") + 20 / F.col("c")).alias("__share"))
+    ids = ids.join(F.broadcast(most), F.col("__lang") == F.col("__name")).filter(drawn(F.col("doc_id")) <= F.col("__share")).select("doc_id", "__lang")  # LANGUAGES rows
     first = Window.partitionBy("__lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     ids = ids.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= per_language).select(F.col("doc_id").alias("__id"), "__lang").distinct()
     few = F.broadcast(ids)  # per_language rows of each language
@@ -94,34 +97,46 @@ class CompressionClassifier:
         return self.names[order[0]], min(1.0, 4.0 * (sizes[order[1]] - sizes[order[0]]) / sizes[order[0]])
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """docs (doc_id, text, and what else it has) with lang_pred and score; columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep_text: bool = True) -> DataFrame:
+    """docs (text, and what else it has) with lang_pred and score; columns of these names are replaced.
+
+    Each text goes to Python once, and comes back only if ``keep_text``. Names of other columns don't matter.
+    """
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != "text")]
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = [i for i, c in enumerate(docs.columns) if c in kept]
+    is_text = docs.schema["text"].dataType.simpleString() == "string"
+    src = plain.select(*[f"c{i}" for i in own], *([] if keep_text and is_text else [F.col(f"c{at}").cast("string").alias("t")]))
+    where = own.index(at) if keep_text and is_text else len(own)
 
     def run(batches):
+        caches.take("compression_language")
         known = CompressionClassifier(dictionaries)
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("__text"))
-            found = [known.classify(text[i].as_py()) for i in range(len(text))]
-            cols = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*kept, "lang_pred", "score"])
+            found = [known.classify(x.as_py()) for x in batch.column(where)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*batch.schema.names[: len(own)], "lang_pred", "score"])
 
-    src = docs.select(*kept, F.col("text").cast("string").alias("__text"))
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return src.mapInArrow(run, schema)
+    schema = src.select(*[f"c{i}" for i in own]).schema.add("lang_pred", "string").add("score", "double")
+    return src.mapInArrow(run, schema).toDF(*kept, "lang_pred", "score")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs; no documents, no rows.
 
-    Without a labelled document there is no language to learn, and all are ``und``.
+    Without a labelled document there is no language to learn, and all are ``und``. Null texts and texts without a letter are
+    ``und``; very long texts are compressed whole, a block at a time; repeated rows are predicted alike; other columns, of
+    whatever name, play no part.
     """
-    dictionaries = fit(docs)
     src = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return predict(src, dictionaries).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(src, fit(docs), keep_text=False)
 
 
 def keep_identified(docs: DataFrame, narrow: float = NARROW) -> DataFrame:
-    """The rows of docs whose language is found by more than a narrow margin, with all their columns."""
-    src = docs.withColumn("__row", F.struct(*docs.columns)).select("doc_id", "text", "__row")
-    return predict(src.select("text", "__row"), fit(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= narrow)).select("__row.*")
+    """The rows of docs whose language is found by more than a narrow margin, with all their columns.
+
+    Columns named lang_pred or score are those of docs. Rows, nulls and order as in ``identify``.
+    """
+    names = [f"d_{i}" if c != "text" else c for i, c in enumerate(docs.columns)]
+    found = predict(docs.toDF(*names), fit(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= narrow))
+    return found.select(*names).toDF(*docs.columns)

@@ -23,6 +23,10 @@ _PLAIN_END = "\u0130"
 #: Byte-level BPE shows each byte as one character: printable Latin-1 as itself, the others from U+0100 on.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+#: Bytes of text that are split into words at once; longer texts are cut at spaces.
+AT_ONCE = 2 << 20
+#: Bytes of pieces and ids that a worker remembers.
+CACHE = 24 << 20
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
@@ -31,12 +35,12 @@ def _strings(values: pa.Array) -> list[str]:
 
 
 class PieceEncoder:
-    """Encodes Arrow string arrays. ``cache``: the most pieces, and the most pre-tokens, whose ids are remembered."""
+    """Encodes Arrow string arrays. ``cache``: bytes of pieces and ids that are remembered, about; results don't depend on it."""
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(path), cache
+        self.tok, self.room = Tokenizer.from_file(path), cache
         self.model, self.normalizer, self.pre = self.tok.model, self.tok.normalizer, self.tok.pre_tokenizer
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         probe = self.pre.pre_tokenize_str(self.normalizer.normalize_str(" Éx") if self.normalizer else " Éx")
@@ -44,21 +48,19 @@ class PieceEncoder:
         self.plain = next((p for p in ("", "\u0120") if [c for c, _ in probe] in ([p + "Ã©x"], [p + "Ãīx"])), None)
         self.lower = [c for c, _ in probe] == [f"{self.plain}Ã©x"]
         self.cores: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     @property
     def vocab_size(self) -> int:
         return self.tok.get_vocab_size(with_added_tokens=True)
 
     def _piece(self, piece: str) -> bytes:
-        """Full stops and commas behind a word are a pre-token of their own; word and marks are encoded once each."""
-        ids = self.pieces.get(piece)
+        """Full stops and commas behind a plain letter or digit are a pre-token of their own; word and marks are encoded once each."""
+        ids = self.cores.get(piece)
         if ids is None:
             word = piece.rstrip(".,")
-            marks = piece[len(word) :]
-            ids = self._cut(word) + self._cut(marks) if marks and word[-1:].isalnum() else self._cut(piece)
-            if len(self.pieces) < self.cache:
-                self.pieces[piece] = ids
+            if len(word) < len(piece) and word[-1:].isalnum() and word[-1] < _PLAIN_END:
+                return self._cut(word) + self._cut(piece[len(word) :])
+            ids = self._cut(piece)
         return ids
 
     def _cut(self, piece: str) -> bytes:
@@ -72,7 +74,9 @@ class PieceEncoder:
                 norm = self.normalizer.normalize_str(piece) if self.normalizer else piece
                 cores = [c for c, _ in self.pre.pre_tokenize_str(norm)]
             ids = array("I", [t.id for c in cores for t in self.model.tokenize(c)]).tobytes()
-            if len(self.cores) < self.cache:
+            need = 200 + 2 * len(piece) + len(ids)
+            if need <= self.room:
+                self.room -= need
                 self.cores[piece] = ids
         return ids
 
@@ -81,53 +85,63 @@ class PieceEncoder:
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         return np.frombuffer(b"".join(ids), "<u4"), np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size, size
 
-    def _prepare(self, texts: pa.Array):
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Texts where a cut isn't safe."""
         whole = pc.match_substring_regex(texts, _UNSAFE)
         for s in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, s))
-        alone = {i: np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4") for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False))}
-        parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        return whole.to_numpy(zero_copy_only=False)
+
+    def _safe(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts that may be cut before each space."""
+        parts = pc.split_pattern(texts, " ")
         offsets = parts.offsets.to_numpy()
         words = parts.values[offsets[0] : offsets[-1]].dictionary_encode()
         offsets = offsets - offsets[0]
-        heads = words.take(pa.array(offsets[:-1])).dictionary_decode().dictionary_encode() if len(texts) else words
+        heads = words.take(pa.array(offsets[:-1])).dictionary_decode().dictionary_encode()
         flat, start, size = self._table([f" {p}" for p in _strings(words.dictionary)] + _strings(heads.dictionary))
         codes = words.indices.to_numpy().astype(np.int64)
         codes[offsets[:-1]] = heads.indices.to_numpy().astype(np.int64) + len(words.dictionary)
-        return alone, offsets, codes, flat, start, size
+        n = size[codes]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        return flat[np.repeat(start[codes] - upto[:-1], n) + np.arange(upto[-1])], upto[offsets]
+
+    def _alone(self, text: str, whole: bool) -> np.ndarray:
+        """Ids of one text; a long one goes in parts that are cut before spaces, if cuts are safe."""
+        if whole:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + AT_ONCE)
+            end = len(text) if end < 0 else end
+            out.append(self._safe(pa.array([text[at:end]], pa.large_string()))[0])
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, "<u4")
 
-    def slices(self, texts: pa.Array, pieces: int = 300_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids, offsets of its rows in ids) for runs of rows of about so many pieces; null counts as empty."""
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, offsets of its rows in ids) for runs of rows of bounded size; null counts as empty."""
         if not len(texts):
             return
-        alone, offsets, codes, flat, start, size = self._prepare(texts)
-        at = 0
-        while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + pieces, "right")) - 1)
-            c = codes[offsets[at] : offsets[end]]
-            n = size[c]
-            upto = np.concatenate(([0], np.cumsum(n)))
-            ids = flat[np.repeat(start[c] - upto[:-1], n) + np.arange(upto[-1])]
-            bounds = upto[offsets[at : end + 1] - offsets[at]]
-            if any(at <= i < end for i in alone):
-                rows = [alone.get(i, ids[bounds[i - at] : bounds[i - at + 1]]) for i in range(at, end)]
-                ids, bounds = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for at, end in caches.runs(pc.binary_length(texts).to_pylist(), AT_ONCE):
+            some = texts.slice(at, end - at)
+            whole = self._whole(some)
+            if len(some) == 1:
+                ids = self._alone(some[0].as_py(), whole[0])
+                bounds = np.array([0, len(ids)])
+            else:
+                ids, bounds = self._safe(pc.if_else(pa.array(whole), "", some) if whole.any() else some)
+                if whole.any():
+                    rows = [self._alone(some[i].as_py(), True) if whole[i] else ids[bounds[i] : bounds[i + 1]] for i in range(len(some))]
+                    ids, bounds = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
             yield at, ids, bounds
-            at = end
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
-        if not len(texts):
-            return np.zeros(0, np.int64)
-        alone, offsets, codes, _, _, size = self._prepare(texts)
-        out = np.diff(np.concatenate(([0], np.cumsum(size[codes])))[offsets])
-        for i, ids in alone.items():
-            out[i] = len(ids)
-        return out
+        return np.concatenate([np.zeros(0, np.int64), *(np.diff(bounds) for _, _, bounds in self.slices(texts))]).astype(np.int64)
 
 
-def encoder(path: str, cache: int = 250_000) -> PieceEncoder:
+def encoder(path: str, cache: int = CACHE) -> PieceEncoder:
     """One encoder for each worker process, that of the last file; what other operators remember is dropped."""
     caches.take("encoding")
     if (path, cache) not in _ENCODERS:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Order values of a source's documents have 48 bits; sums over their upper 16 come first.
-LOW_BITS = 32
+#: Order values of a source's documents have 48 bits; sums over their upper 12 come first, then over the next 12 of one bucket, then documents.
+LOW_BITS = (36, 24, 0)
 
 
 def order_value(doc_id: Column, seed: int) -> Column:
@@ -45,25 +45,35 @@ def water_fill(sources: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (
 
 
 def plan_mix(sized: DataFrame, epochs: int = 3) -> DataFrame:
-    """(source, source_size, target, whole, upto): documents are taken ``whole`` times, those with order value up to ``upto`` once more.
+    """(plan_source, source_size, target, whole, upto): documents are taken ``whole`` times, those with order value up to ``upto`` once more.
 
-    sized: (source, size, h). ``upto`` is where the words so far come nearest to what is missing: found among sums by the
-    order's upper bits first, then among the documents of one such bucket, so no task sees a source's documents together.
+    sized: (source, size, h). ``upto`` is where the words so far come nearest to what is missing. It is found among sums by the
+    order's upper bits, then among those of one bucket by the next bits, then among the documents of one such bucket: no task
+    sees more than 4096 sums of a source, nor its documents together. Rows a source are few: sources are ordered in one task.
     """
-    bucketed = sized.groupBy("source", F.shiftright("h", LOW_BITS).alias("bucket")).agg(F.sum("size").alias("size"))
-    sources = water_fill(bucketed.groupBy("source").agg(F.sum("size").alias("source_size")), epochs)
+    sums = lambda rows, low, *by: rows.groupBy(*by, F.shiftright("h", low).alias("bucket")).agg(F.sum("size").alias("size"))
+    top = written(sums(sized, LOW_BITS[0], "source"), "sums")
+    sources = water_fill(top.groupBy("source").agg(F.sum("size").alias("source_size")), epochs)
     whole = F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(epochs))
     goal = sources.withColumn("whole", F.coalesce(whole, F.lit(0)).cast("long")).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = goal.withColumnRenamed("source", "s")
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    edge = bucketed.withColumn("cum", F.sum("size").over(upto)).join(goal, F.col("source").eqNullSafe(F.col("s")))
-    edge = edge.filter((F.col("cum") >= F.col("missing")) & (F.col("cum") - F.col("size") < F.col("missing"))).select("s", "bucket", (F.col("cum") - F.col("size")).alias("before"), "missing")
-    inside = sized.withColumn("b", F.shiftright("h", LOW_BITS)).join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bucket")))
-    inside = inside.groupBy("s", "bucket", "before", "missing", "h").agg(F.sum("size").alias("size"))
-    within = Window.partitionBy("s").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("off", F.abs(F.col("before") + F.sum("size").over(within) - F.col("missing")))
-    none = edge.select("s", (F.shiftleft("bucket", LOW_BITS) - 1).alias("h"), F.abs(F.col("before") - F.col("missing")).alias("off"))
-    chosen = inside.select("s", "h", "off").unionByName(none).groupBy(F.col("s").alias("c")).agg(F.min(F.struct("off", "h")).alias("best"))
+    goal = written(goal.withColumnRenamed("source", "s"), "goal")
+    edge, ends = goal.select("s", F.lit(0).cast("long").alias("before"), "missing"), []
+    upto = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    for k, low in enumerate(LOW_BITS):
+        if k:
+            inside = sized.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", LOW_BITS[k - 1]) == F.col("found")))
+            sized = inside.select("source", "size", "h")
+            rows = sums(inside, low, "s", "before", "missing")
+        else:
+            rows = top.join(edge, F.col("source").eqNullSafe(F.col("s"))).select("s", "before", "missing", "bucket", "size")
+        rows = rows.withColumn("cum", F.col("before") + F.sum("size").over(upto))
+        if low:
+            edge = rows.filter((F.col("cum") >= F.col("missing")) & (F.col("cum") - F.col("size") < F.col("missing")))
+            edge = written(edge.select("s", (F.col("cum") - F.col("size")).alias("before"), "missing", F.col("bucket").alias("found")), "edge")
+            ends.append(edge.select("s", (F.shiftleft("found", low) - 1).alias("h"), F.abs(F.col("before") - F.col("missing")).alias("off")))
+        else:
+            ends.append(rows.select("s", F.col("bucket").alias("h"), F.abs(F.col("cum") - F.col("missing")).alias("off")))
+    chosen = ends[-2].unionByName(ends[-1]).groupBy(F.col("s").alias("c")).agg(F.min(F.struct("off", "h")).alias("best"))
     out = goal.join(chosen, F.col("s").eqNullSafe(F.col("c")), "left")
     return out.select(F.col("s").alias("plan_source"), "source_size", "target", "whole", F.coalesce(F.col("best.h"), F.lit(-1)).alias("upto"))
 
@@ -98,9 +108,13 @@ def mix(docs: DataFrame, seed: int = 17, epochs: int = 3) -> DataFrame:
 
 
 def repeat_rows(docs: DataFrame, seed: int = 17, epochs: int = 3) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with all their columns. Rows without words stay once: they take nothing."""
+    """The rows of docs, each as often as the mix takes it, with all their columns. Rows without words stay once: they take nothing.
+
+    Nulls, repeated rows and empty tables as in ``mix``; names of further columns don't matter.
+    """
     plan = written(plan_mix(_sized(docs, seed).select("source", "size", "h"), epochs), "plan")
-    columns = docs.columns
-    keyed = docs.withColumns({"__source": F.col("source").cast("string"), "__h": order_value(F.col("doc_id"), seed), "__size": words(F.col("text"))})
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    col = lambda name: F.col(names[docs.columns.index(name)])
+    keyed = docs.toDF(*names).withColumns({"__source": col("source").cast("string"), "__h": order_value(col("doc_id"), seed), "__size": words(col("text"))})
     times = F.when(F.col("__size") == 0, 1).otherwise(_times()).cast("int")
-    return _with_plan(keyed, plan).withColumn("__n", F.explode(F.array_repeat(F.lit(0), times))).select(*columns)
+    return _with_plan(keyed, plan).withColumn("__n", F.explode(F.array_repeat(F.lit(0), times))).select(*names).toDF(*docs.columns)

@@ -24,7 +24,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words; the most common ones are remembered."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         from xxhash import xxh3_64_intdigest
 
@@ -41,7 +41,7 @@ _WORDS: list[WordHashes] = []
 caches.register("shingles", _WORDS.clear)
 
 
-def shingle_sets(texts: pa.Array, width: int = 5, at_once: int = 400_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(texts: pa.Array, width: int = 5, at_once: int = 200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, hashes, bounds) for runs of rows; the set of a row is sorted and lies between its bounds.
 
     Words are runs of other than ASCII white space, A-Z in lower case. A text of fewer words than the width has one shingle,

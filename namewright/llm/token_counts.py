@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
+from .shared import written
 
 #: Lengths a block; sums over blocks come first, so no task sorts the whole histogram.
 BLOCK = 1024
@@ -32,9 +33,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length L of the histogram: documents and tokens of those at least so long, and what is left of all when cut to L.
 
     docs_at_least, tokens_at_least: suffix sums, L itself included. tokens_at_limit: tokens if every document is cut to L.
-    share_within: share of documents that fit L uncut.
+    share_within: share of documents that fit L uncut. The histogram is written once, as blocks and lengths both need it.
     """
-    h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    h = written(histogram, "histogram").withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t")).select(
         "block",

@@ -42,8 +42,8 @@ def test_pieces_give_the_ids_of_whole_texts(path, odd_rows):
     import pyarrow as pa
 
     texts = [r[1] for r in odd_rows] + [" lead", "trail ", "two  spaces", "l'été d'1 fois 12's", "x\n\ny \n z", "İ ΑΣ ς", "a\u0301b"]
-    enc, tok = encoding.PieceEncoder(path, cache=3), Tokenizer.from_file(path)
-    got = [ids[a:b].tolist() for _, ids, bounds in enc.slices(pa.array(texts), pieces=50) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    enc, tok = encoding.PieceEncoder(path, cache=3000), Tokenizer.from_file(path)
+    got = [ids[a:b].tolist() for _, ids, bounds in enc.slices(pa.array(texts)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert got == want
     assert enc.counts(pa.array(texts)).tolist() == [len(w) for w in want]
