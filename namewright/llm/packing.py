@@ -1,8 +1,9 @@
 """Best-fit packing of documents into sequences by linear grouping.
 
 Lengths below the limit take at most limit - 1 values, so the whole plan is made from their histogram, whose size doesn't
-depend on the corpus: large lengths are rounded up to the largest of their group of equal cardinality, configurations of
-these few sizes are optimised, documents take the slots of their group, and small ones fill what is left by best fit.
+depend on the corpus: large lengths are rounded up to the largest of their group of equal cardinality, the configurations
+of these few sizes are optimised (a linear program by column generation, rounded down), actual documents take the slots of
+their group, and what is left over, and small lengths, go where they fit best.
 The plan is a list of runs: the documents of one length with ranks a to b go to sequences from s on. Documents find
 their place by their rank, which is a count within an input partition plus a prefix sum over partitions.
 """
@@ -23,9 +24,11 @@ from .encoding import encoder
 from .shared import written
 
 #: Lengths above this share of the limit are large.
-LARGE = 1 / 16
-#: Numbers of groups that are tried; the plan with the fewest sequences counts.
-GROUPS = (64, 256, 1024)
+LARGE = 1 / 5
+#: Groups of equal cardinality, and so the most sizes that configurations are made of.
+GROUPS = 64
+#: Rounds of column generation for each size, at most; the plan holds whenever it stops.
+COLUMNS = 30
 
 
 def _groups(hist: dict[int, int], n_groups: int) -> list[tuple[int, list[list[int]]]]:
@@ -45,76 +48,98 @@ def _groups(hist: dict[int, int], n_groups: int) -> list[tuple[int, list[list[in
     return out
 
 
-def _fill(room: int, sizes: list[int], counts: list[int]) -> dict[int, int]:
-    """Types and numbers whose sizes come nearest to room from below (a subset sum over bit sets)."""
-    reach, steps = 1, []
-    mask = (1 << (room + 1)) - 1
-    for t, (size, n) in enumerate(zip(sizes, counts, strict=True)):
-        if size > room:
-            continue
-        for _ in range(min(n, room // size)):
-            more = (reach | reach << size) & mask
-            if more == reach:
-                break
-            steps.append((t, reach))
-            reach = more
-        if reach >> room & 1:
+def _richest(sizes: np.ndarray, worth: np.ndarray, limit: int) -> tuple[float, np.ndarray]:
+    """The configuration of the largest worth, by dynamic programming over its length; sizes fall."""
+    rising, value, pick = sizes[::-1], np.zeros(limit + 1), np.full(limit + 1, -1)
+    own = worth[::-1]
+    for room in range(1, limit + 1):
+        k = int(np.searchsorted(rising, room, "right"))
+        value[room] = value[room - 1]
+        if k:
+            got = value[room - rising[:k]] + own[:k]
+            best = int(got.argmax())
+            if got[best] > value[room] + 1e-12:
+                value[room], pick[room] = got[best], len(sizes) - 1 - best
+    config, room = np.zeros(len(sizes)), limit
+    while room > 0:
+        if pick[room] < 0:
+            room -= 1
+        else:
+            config[pick[room]] += 1
+            room -= int(sizes[pick[room]])
+    return float(value[limit]), config
+
+
+def configurations(sizes: list[int], counts: list[int], limit: int) -> list[tuple[dict[int, int], int]]:
+    """({size index: number}, times): a near-optimal choice of configurations, rounded down; no size is used more often than it occurs.
+
+    Simplex over configurations: a round adds the one that is worth most at the current prices of sizes.
+    """
+    if not sizes:
+        return []
+    s, need = np.array(sizes), np.array(counts, float)
+    basis = np.diag(np.floor(limit / s))
+    x = need / np.diag(basis)
+    for _ in range(COLUMNS * len(sizes)):
+        price = np.linalg.solve(basis.T, np.ones(len(s)))
+        worth, config = _richest(s, price, limit)
+        if worth <= 1 + 1e-9:
             break
-    best, out = reach.bit_length() - 1, defaultdict(int)
-    for t, before in reversed(steps):
-        if not before >> best & 1:
-            out[t] += 1
-            best -= sizes[t]
-    return out
+        step = np.linalg.solve(basis, config)
+        some = step > 1e-9
+        if not some.any():
+            break
+        ratio = np.where(some, x / np.where(some, step, 1), np.inf)
+        out = int(ratio.argmin())
+        x = np.maximum(x - ratio[out] * step, 0)
+        basis[:, out], x[out] = config, ratio[out]
+    left, found = list(counts), []
+    for j in np.argsort(-x, kind="stable").tolist():
+        config = {t: int(n) for t, n in enumerate(basis[:, j]) if n}
+        times = min([int(x[j] + 1e-6), *(left[t] // n for t, n in config.items())])
+        if times:
+            found.append((config, times))
+            for t, n in config.items():
+                left[t] -= n * times
+    return found
 
 
-def make_plan(hist: dict[int, int], limit: int, n_groups: int) -> tuple[int, list[tuple]]:
+def make_plan(hist: dict[int, int], limit: int, n_groups: int = GROUPS) -> tuple[int, list[tuple]]:
     """Number of sequences, and runs (size, rank_from, rank_to, sequence_from, per_sequence, offset) that place every rank."""
-    large = {s: n for s, n in hist.items() if s > limit * LARGE}
-    groups = _groups(large, n_groups)
-    sizes, left = [g[0] for g in groups], [sum(n for _, n in g[1]) for g in groups]
+    groups = _groups({s: n for s, n in hist.items() if s > limit * LARGE}, n_groups)
     runs, ranks, n_seq = [], defaultdict(int), 0
     rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for g in range(len(groups)):
-        while left[g]:
-            left[g] -= 1
-            config = _fill(limit - sizes[g], sizes[g:], left[g:])
-            left[g] += 1
-            need = {g: 1}
-            for t, n in config.items():
-                need[g + t] = need.get(g + t, 0) + n
-            times = min(left[t] // n for t, n in need.items())
-            slots = []
-            for t, n in need.items():
-                left[t] -= n * times
-                for _ in range(n):
-                    cut, have = [], 0
-                    while have < times:
-                        size, count = groups[t][1][0]
-                        k = min(count, times - have)
-                        cut.append((have, have + k, size, ranks[size] - have))
-                        ranks[size] += k
-                        have += k
-                        groups[t][1][0][1] -= k
-                        if not groups[t][1][0][1]:
-                            groups[t][1].pop(0)
-                    slots.append(cut)
-            edges = sorted({a for cut in slots for a, *_ in cut} | {times})
-            at = [0] * len(slots)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                used = 0
-                for j, cut in enumerate(slots):
-                    while cut[at[j]][1] <= a:
-                        at[j] += 1
-                    _, _, size, base = cut[at[j]]
-                    runs.append((size, base + a, base + b, n_seq + a, 1, used))
-                    used += size
-                if used < limit:
-                    rooms[limit - used].append((n_seq + a, b - a))
-            n_seq += times
+    for config, times in configurations([g[0] for g in groups], [sum(n for _, n in g[1]) for g in groups], limit):
+        slots = []
+        for t, n in config.items():
+            for _ in range(n):
+                cut, have = [], 0
+                while have < times:
+                    size, count = groups[t][1][0]
+                    k = min(count, times - have)
+                    cut.append((have, have + k, size, ranks[size] - have))
+                    ranks[size] += k
+                    have += k
+                    groups[t][1][0][1] -= k
+                    if not groups[t][1][0][1]:
+                        groups[t][1].pop(0)
+                slots.append(cut)
+        edges = sorted({a for cut in slots for a, *_ in cut} | {times})
+        at = [0] * len(slots)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            used = 0
+            for j, cut in enumerate(slots):
+                while cut[at[j]][1] <= a:
+                    at[j] += 1
+                _, _, size, base = cut[at[j]]
+                runs.append((size, base + a, base + b, n_seq + a, 1, used))
+                used += size
+            if used < limit:
+                rooms[limit - used].append((n_seq + a, b - a))
+        n_seq += times
     keys = sorted(rooms)
-    for size in sorted((s for s in hist if s not in large), reverse=True):
-        count, rank = hist[size], 0
+    for size in sorted(hist, reverse=True):
+        rank, count = ranks[size], hist[size] - ranks[size]
         while count:
             i = bisect_left(keys, size)
             if i == len(keys):
@@ -146,10 +171,6 @@ def make_plan(hist: dict[int, int], limit: int, n_groups: int) -> tuple[int, lis
     return n_seq, runs
 
 
-def best_plan(hist: dict[int, int], limit: int) -> tuple[int, list[tuple]]:
-    return min((make_plan(hist, limit, n) for n in GROUPS), key=lambda p: p[0])
-
-
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFrame:
     """doc_id, n (ids), crcs (of the pieces), part (input partition), size (of the shorter first piece, or 0), rank and full_before within the partition."""
 
@@ -190,7 +211,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limit: int = 1024) ->
     by_part = rows.groupBy("part", "size").agg(F.count("*").alias("c"), F.sum(F.floor(F.col("n") / limit)).alias("f"))
     counts = written(by_part, "lengths")
     hist = {r["size"]: r["c"] for r in counts.filter("size > 0").groupBy("size").agg(F.sum("c").alias("c")).collect()}  # limit - 1 rows at most
-    n_seq, runs = best_plan(hist, limit)
+    n_seq, runs = make_plan(hist, limit)
     plan = spark.createDataFrame(runs, "p_size int, rank_from long, rank_to long, seq_from long, per long, at int")
     earlier = lambda *by: Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select(F.col("part").alias("b_part"), F.col("size").alias("b_size"), F.coalesce(F.sum("c").over(earlier("size")), F.lit(0)).alias("base"))

@@ -201,7 +201,7 @@ def test_packing_odd(odd):
 def test_plans_place_every_rank(seed):
     rng = random.Random(seed)
     hist = Counter(min(1023, max(1, int(rng.choice([rng.uniform(1, 1023), rng.lognormvariate(4, 1)])))) for _ in range(rng.choice([1, 20, 3000])))
-    for groups in packing.GROUPS:
+    for groups in (4, packing.GROUPS):
         n, runs = packing.make_plan(dict(hist), 1024, groups)
         used, seen = defaultdict(list), Counter()
         for size, a, b, seq, per, at in runs:
