@@ -1,16 +1,21 @@
 """Secret scans: a random forest removes false positives from candidates, with DataFrame functions only.
 
-A candidate is a run of 16 or more characters of identifiers and encodings; a word may have several. The forest sees its length, its
-character transitions, how much of it a dictionary covers, where it stands and its neighbouring words. It is grown level
-by level from sums over (tree, node, feature, bin) of a bounded sample of labelled findings, and applied as an expression.
+A candidate is a run of 16 or more characters of identifiers and encodings; a word may have several. The forest sees its length, how
+likely its character transitions are among the corpus' words, how much of it a dictionary covers, where it stands and its
+neighbouring words. It is grown level by level from sums over (tree, node, feature, bin) of a bounded sample of labelled
+findings, and applied as an expression. What decides a label (names, assignments, published shapes) is no feature. Found
+values are never written: tables between the steps hold their features and digests.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drawn, written
 
 RUN = "[A-Za-z0-9+/_-]{16,}"
 #: What ends a field of a word, as in JSON and queries; no run has one.
@@ -19,10 +24,14 @@ FIELDS = r"[,;&?|(){}\[\]<>]"
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key")
 #: Published shapes of issued keys.
 SHAPES = (r"^AKIA[A-Z0-9]{16}$", r"^ASIA[A-Z0-9]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^xox[abpr]-[A-Za-z0-9-]{10,}$", r"^sk_live_[A-Za-z0-9]{20,}$", r"^AIza[A-Za-z0-9_-]{35}$")
-#: Forest: trees, levels, bins a feature; features tried at a node are those of every third hash.
-TREES, LEVELS, BINS = 12, 5, 16
-#: Bounds of the sample: labelled findings of each class; documents and words the dictionary is made from.
-FINDINGS, DICTIONARY_DOCS, DICTIONARY_WORDS = 2000, 2000, 200
+#: Forest: trees, levels, bins a feature; the share of features tried at a node.
+TREES, LEVELS, BINS, TRIED = 12, 5, 16, 0.4
+#: Bound of the sample: labelled findings of each class.
+FINDINGS = 2000
+#: The dictionary: words of 3 to 12 letters in at least this share of all documents, the most common ones first up to a number.
+DICTIONARY_SHARE, DICTIONARY_WORDS = 0.002, 2000
+#: What transitions are between; others count as the last.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SECRET = 0.5
 
 
@@ -53,47 +62,74 @@ def _runs(field: Column) -> Column:
     return F.transform(runs, lambda r, i: F.struct(r.alias("run"), F.concat(F.get(gaps, F.lit(0)), F.array_join(pieces(i), "")).alias("front")))
 
 
-def dictionary(docs: DataFrame) -> list[str]:
-    """The most common words of 3 or more letters of a bounded sample of documents, longest first."""
-    few = docs.select("doc_id", "text").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(DICTIONARY_DOCS)
+def dictionary(docs: DataFrame) -> dict[str, int]:
+    """The corpus' common words and their numbers of documents, counted over all documents; bounded by a share of them."""
+    total = docs.count()
     word = F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[^a-zà-öø-ÿ]+")))
-    count = few.select(word.alias("x")).filter(F.length("x").between(3, 12)).groupBy("x").count()
-    return sorted((r["x"] for r in count.orderBy(F.desc("count"), "x").limit(DICTIONARY_WORDS).collect()), key=lambda x: (-len(x), x))
+    count = docs.select(word.alias("x")).filter(F.length("x").between(3, 12)).groupBy("x").agg(F.count("*").alias("c"))
+    common = count.filter(F.col("c") >= max(2, DICTIONARY_SHARE * total)).orderBy(F.desc("c"), "x").limit(DICTIONARY_WORDS)
+    return {r["x"]: r["c"] for r in common.collect()}
+
+
+def _pattern(words: list[str]) -> str:
+    """A regular expression of these words, longer ones first, with their common beginnings once."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def of(node: dict) -> str:
+        parts = [c + of(node[c]) for c in sorted(node) if c]
+        return "" if not parts else f"(?:{'|'.join(parts)})" + "?" * ("" in node)
+
+    return of(tree)
 
 
-def features(known: list[str]) -> dict[str, Column]:
+def transitions(known: dict[str, int]) -> list[float]:
+    """log2 of the smoothed probability of each character after each, among the words of the dictionary; by 27 * first + second."""
+    k = len(LETTERS) + 1
+    counts = [[0.5] * k for _ in range(k)]
+    place = {c: i for i, c in enumerate(LETTERS)}
+    for w, n in known.items():
+        for a, b in zip(w[:-1], w[1:], strict=True):
+            counts[place.get(a, k - 1)][place.get(b, k - 1)] += n
+    return [math.log2(x / sum(row)) for row in counts for x in row]
+
+
+def features(known: dict[str, int]) -> dict[str, Column]:
     run, n = F.col("run"), F.length("run").cast("double")
     share = lambda cls: F.regexp_count(run, F.lit(cls)) / n
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(run, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
-    left = F.regexp_replace(F.lower(run), "|".join(known), "") if known else run
+    pattern = _pattern(list(known))
+    covered = lambda c: 1 - F.length(F.regexp_replace(c, pattern, "")) / F.greatest(F.length(c), F.lit(1)) if known else F.lit(0.0)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    table, k = F.array(*[F.lit(x) for x in transitions(known)]), len(LETTERS) + 1
+    places = F.transform(F.filter(F.split(F.lower(run), ""), lambda c: c != ""), lambda c: F.coalesce(F.nullif(F.position(c, F.lit(LETTERS)), F.lit(0)), F.lit(k)) - 1)
+    steps = F.zip_with(F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))), F.slice(places, 2, F.size(places)), lambda a, b: F.get(table, a * k + b))
     return {
         "length": n,
         "digits": share("[0-9]"),
         "upper": share("[A-Z]"),
-        "lower": share("[a-z]"),
         "symbols": share("[+/_-]"),
-        "changes": F.length(shape) / n,
+        "transitions": F.aggregate(steps, F.lit(0.0), lambda total, x: total + x) / n,
         "consonants": share("(?i)[bcdfghjklmnpqrstvwxz]{4,}"),
         "vowels": share("(?i)[aeiou]"),
         "distinct": F.size(F.array_distinct(F.split(run, ""))) / n,
         "hex": flag(run.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
-        "covered": 1 - F.length(left) / n,
+        "covered": covered(F.lower(run)),
         "path_tests": flag(F.lower("path").rlike("test|example|sample|doc|fixture|mock")),
         "early": 1.0 / (1.0 + F.col("position")),
-        "named": flag(F.col("before").rlike("|".join(NAMES))),
-        "assigned": flag(F.col("before").rlike("[=:]\\s*[\"']?$")),
-        "quoted": flag(F.col("quoted")),
-        "next_known": flag(F.regexp_replace(F.lower("next"), "[^a-zà-öø-ÿ]", "").isin(known)) if known else F.lit(0.0),
+        "before_covered": covered(F.regexp_extract("before", r"([^ ]*)$", 1)),
+        "next_covered": covered(F.lower("next")),
     }
 
 
-def labelled_findings(found: DataFrame) -> DataFrame:
-    """Candidates with label y where their form decides: 1 for issued shapes and named, assigned values with digits; 0 for letters alone or digits alone without a name."""
-    run = F.col("run")
-    secret = run.rlike("|".join(SHAPES)) | (F.col("before").rlike("|".join(NAMES)) & F.col("before").rlike("[=:]\\s*[\"']?$") & run.rlike("[0-9]"))
-    plain = (~run.rlike("[0-9]") | run.rlike("^[0-9]+$")) & ~F.col("before").rlike("|".join(NAMES))
-    return found.withColumn("y", F.when(secret, 1).when(plain, 0)).filter("y is not null")
+def labels() -> Column:
+    """1 for published shapes and for values that a name of secrets is assigned, 0 for what is neither named, assigned nor quoted; else null."""
+    named, assigned = F.col("before").rlike("|".join(NAMES)), F.col("before").rlike("[=:]\\s*[\"']?$")
+    shaped = F.col("run").rlike("|".join(SHAPES))
+    return F.when(shaped | (named & assigned), 1).when(~named & ~assigned & ~F.coalesce(F.col("quoted"), F.lit(False)), 0)
 
 
 class Forest:
@@ -118,11 +154,15 @@ class Forest:
 def train(labelled: DataFrame, names: list[str], per_class: int = FINDINGS) -> Forest:
     """A forest from a bounded sample of labelled findings: columns doc_id, position, run_index, y and the features.
 
-    The sample: the first of each class in order of md5(doc_id, position, run_index; a word's first run without the index). Bootstrap weights and the features tried at a node
-    come from hashes, so training again gives the same forest. Without findings every score is 0, of one class its label.
+    The sample: of each class, about ``per_class`` findings by a threshold of md5(doc_id, position, run_index; a word's first run without the
+    index), so that no task sorts or gathers a class; all findings of a class that has no more. Bootstrap weights and the
+    features tried at a node come from hashes, so training again gives the same forest. Without findings every score is 0, of one
+    class its label.
     """
-    key = F.md5(F.concat_ws(":", "doc_id", "position", F.when(F.col("run_index") > 0, F.col("run_index"))).cast("binary"))
-    sample = labelled.withColumn("k", key).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("k", "position", "run_index"))).filter(F.col("r") <= per_class)
+    key = F.concat_ws(":", "doc_id", "position", F.when(F.col("run_index") > 0, F.col("run_index")))
+    n = {r["y"]: r["c"] for r in labelled.groupBy("y").agg(F.count("*").alias("c")).collect()}  # two classes
+    share = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, per_class / c))) for y, c in sorted(n.items())], F.lit(0.0))
+    sample = labelled.withColumn("k", F.md5(key.cast("binary"))).filter(drawn(key) <= share)
     sample = written(sample.select("k", "y", *names), "findings")
     grid = [i / BINS for i in range(1, BINS)]
     row = sample.agg(F.avg("y").alias("prior"), *[F.percentile(n, F.array(*[F.lit(g) for g in grid])).alias(n) for n in names]).first()
@@ -148,6 +188,11 @@ def train(labelled: DataFrame, names: list[str], per_class: int = FINDINGS) -> F
     return Forest(names, splits, values, prior)
 
 
+def _tried(tree: int, node: int, feature: int) -> bool:
+    """Whether a feature is drawn for a node, by a hash of the three."""
+    return int.from_bytes(hashlib.md5(f"{tree}:{node}:{feature}".encode()).digest()[:4], "big") < TRIED * 2**32
+
+
 def _best_splits(sums: list, edges: list, last: bool, values: dict) -> dict:
     nodes: dict = {}
     for r in sums:
@@ -161,7 +206,7 @@ def _best_splits(sums: list, edges: list, last: bool, values: dict) -> dict:
             continue
         best = (1e-9, None)
         for f, hist in sorted(by.items()):
-            if (f * 7 + i * 13 + t * 5) % 3 or not edges[f]:
+            if not edges[f] or not _tried(t, i, f):
                 continue
             lw = ls = 0
             for b in range(len(edges[f])):
@@ -178,12 +223,13 @@ def _best_splits(sums: list, edges: list, last: bool, values: dict) -> dict:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, position, run_index, length, score, is_secret, run_sha256: a row for each candidate of docs (doc_id, text, source).
 
-    The value itself isn't returned. Null and empty texts have no candidates; repeated rows are scanned each; no documents, no
-    rows. Labels come from the form of candidates (labelled_findings), the forest judges all.
+    The value itself is neither returned nor written. Null and empty texts have no candidates; very long texts and words are
+    scanned whole; repeated rows are scanned each; findings that tie in the sample's hash are all in or out; a null doc_id is
+    kept; further columns, of whatever name, play no part; no documents, no rows. Labels come from context and published
+    shapes (labels), the forest judges all by the rest.
     """
-    known = dictionary(docs)
-    columns = features(known)
-    found = written(candidates(docs), "candidates").withColumns(columns)
-    forest = train(labelled_findings(found), list(columns))
-    score = forest.score()
-    return found.select("doc_id", F.col("position").cast("long").alias("position"), "run_index", F.length("run").alias("length"), score.alias("score"), (score >= SECRET).alias("is_secret"), F.sha2("run", 256).alias("run_sha256"))
+    columns = features(dictionary(docs))
+    found = candidates(docs).select("doc_id", "position", "run_index", F.length("run").alias("n"), F.sha2("run", 256).alias("run_sha256"), labels().alias("y"), *[c.alias(n) for n, c in columns.items()])
+    found = written(found, "candidates")
+    score = train(found.filter("y is not null"), list(columns)).score()
+    return found.select("doc_id", F.col("position").cast("long").alias("position"), "run_index", F.col("n").alias("length"), score.alias("score"), (score >= SECRET).alias("is_secret"), "run_sha256")
