@@ -6,9 +6,10 @@ partition they differ in one feature at most: there they agree in two of the thr
 of a set are the contents of all subsets of two second-level partitions of each first-level one that aren't empty. A set
 near a band's end takes the next band's signatures too.
 
-Features that a sample shows to be frequent, such as passages of many documents, are left out at first; sets that fill too
-few partitions without them have the signatures of all their features too, and, if these are still too few, one a feature.
-So no link is lost, whatever the sample.
+Features that a sample shows to be frequent, such as passages of many documents, are left out at first. Sets that fill too
+few partitions without them have signatures of all their features too, of one of two second-level partitions each (the many
+near copies whose features are all frequent then meet in fewer different groups), and, if these are still too few, one a
+feature. So no link is lost, whatever the sample.
 
 Pairs of similar size that share a signature are candidates. Their parity sketches, of about a bit a feature, differ in no
 more bits than the sets differ in features, which drops nearly all false ones exactly; the complete sets decide on the rest.
@@ -58,9 +59,9 @@ def _concat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def signatures(values: np.ndarray, bounds: np.ndarray, frequent: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
     """(signature, row) of sets given as sorted hashes and bounds; ``frequent``: sorted features that level 0 leaves out.
 
-    Level 0 has subsets of partitions without frequent features, level 1, of sets that fill too few partitions there, those of
-    all features, level 2, of sets that still fill too few, each feature. A partition that holds features in two of its three
-    parts has a subset left when a feature differs; a set that has more of these than half the features that may differ shares
+    Level 0 has subsets of two of three parts without frequent features, level 1, of sets that fill too few partitions there,
+    of one of two parts with all features, level 2, of sets that still fill too few, each feature. A partition that holds
+    features in two of its parts has a subset left when a feature differs; a set that has more of these than half the features that may differ shares
     a signature with each similar set at that level. If neither of a pair has, both take the next level; in the last, a
     feature in common suffices.
     """
@@ -74,7 +75,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray, frequent: np.ndarray = np
         for j in np.unique(bands[rows]):
             d = rows[bands[rows] == j]
             largest = (1 << (int(j) + 1)) - 1
-            parts = int(np.ceil(SPARE * (largest * 2 * (DEN - NUM) // (DEN + NUM) // 2 + 1)))
+            halves = largest * 2 * (DEN - NUM) // (DEN + NUM) // 2 + 1  # more than half of the features that any pair in the band may differ in
             most = (n[d] + np.minimum(n[d] * DEN // NUM, largest)) * (DEN - NUM) // (DEN + NUM)  # features by which a pair may differ
             for level in (0, 1, 2) if len(frequent) else (1, 2):
                 if not len(d):
@@ -87,19 +88,22 @@ def signatures(values: np.ndarray, bounds: np.ndarray, frequent: np.ndarray = np
                 if level == 2:
                     out.append((mixed(v + np.uint64(3 * j + level)), d[own]))
                     break
-                key = own * np.int64(3 * parts) + (mixed(v ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(3 * parts)).astype(np.int64)
+                each = 3 - level  # second-level partitions of a first-level one
+                parts = int(np.ceil(SPARE * halves))
+                key = own * np.int64(each * parts) + (mixed(v ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(each * parts)).astype(np.int64)
                 order = np.argsort(key, kind="stable")
                 key = key[order]
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
                 content = np.add.reduceat(mixed(v[order] + np.uint64(5)), first) if len(key) else v
-                held = np.zeros(len(d) * 3 * parts, np.uint64)
-                part = (key[first] % (3 * parts)).astype(np.uint64)
+                held = np.zeros(len(d) * each * parts, np.uint64)
+                part = (key[first] % (each * parts)).astype(np.uint64)
                 held[key[first]] = mixed(content + mixed(part * np.uint64(1_000_003) + np.uint64(3 * j + level))) | np.uint64(1)
-                held = held.reshape(-1, 3)
+                held = held.reshape(-1, each)
                 full = ((held != 0).sum(1) >= 2).reshape(len(d), parts).sum(1)
-                for a, b, salt in ((0, 1, 11), (0, 2, 13), (1, 2, 17)):
-                    some = np.flatnonzero((held[:, a] != 0) | (held[:, b] != 0))
-                    out.append((mixed(held[some, a] + np.uint64(3) * held[some, b] + np.uint64(salt)), d[some // parts]))
+                for subset in ((0, 1), (0, 2), (1, 2)) if each == 3 else ((0,), (1,)):
+                    some = np.flatnonzero((held[:, subset] != 0).any(1))
+                    whole = sum((held[some, x] * np.uint64(2 * i + 1) for i, x in enumerate(subset)), np.zeros(len(some), np.uint64))
+                    out.append((mixed(whole + np.uint64(11 + sum(subset))), d[some // parts]))
                 few = full <= most // 2
                 d, most = d[few], most[few]
     if not out:
