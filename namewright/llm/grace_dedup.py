@@ -195,9 +195,15 @@ def exact_dedup(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    key = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, " "), 256)
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    columns = docs.columns
-    found = docs.withColumn("__sha", key).join(kept, F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__sha"]).select(*columns)
+    """The rows of docs that stay, with all their columns, whatever their names; of repeated rows one.
+
+    The keys have no nulls, so rows that the join has put together needn't be dealt again to drop repeated ones.
+    """
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    col = lambda name: F.col(names[docs.columns.index(name)])
+    id_key = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
+    text_key = F.sha2(F.regexp_replace(F.coalesce(col("text").cast("string"), F.lit("")), WHITE, " "), 256)
+    kept = exact_dedup(docs).filter("kept").select(id_key(F.col("doc_id")).alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
+    keyed = docs.toDF(*names).withColumns({"__id": id_key(col("doc_id")), "__sha": text_key})
+    found = keyed.join(kept, (F.col("__id") == F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
+    return found.dropDuplicates(["__id", "__sha"]).select(*names).toDF(*docs.columns)
