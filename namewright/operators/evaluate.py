@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import udfs
+from ..functions import corruption
 
 RETRIEVAL_KS, RANK_KS, ABLATION_KS = (1, 5, 10), (1, 5, 10, 50, 256), (1, 5, 10, 25, 50, 100, 256)
 
@@ -164,7 +164,7 @@ def robustness(queries: DataFrame, search, levels: tuple[float, ...] = (0.0, 0.1
     """(level, query_id, ...) of ``search(queries)`` over corrupted texts of each level; the corpus stays. queries: (id, name)."""
     out = None
     for i, level in enumerate(levels):
-        bad = queries.withColumn("name", udfs.corrupt(F.col("name"), F.col("id"), level, seed + i + 1000))
+        bad = queries.withColumn("name", corruption.corrupt(F.col("name"), F.col("id"), level, seed + i + 1000))
         rows = search(bad).withColumn("level", F.lit(level))
         out = rows if out is None else out.unionByName(rows)
     return out

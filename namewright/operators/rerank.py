@@ -196,18 +196,22 @@ def ablations(base: dict[str, float]) -> dict[str, dict[str, float]]:
 def trial_ranks(feats: DataFrame, base: DataFrame, gold: DataFrame, trials: dict[str, dict[str, float]]) -> DataFrame:
     """(trial, query_id, gold_rank) of all weight vectors in one job: the rank is one plus the candidates that beat the gold one.
 
-    The scores of all trials are an array column, so neither features nor shuffles are repeated a trial.
+    The scores of all trials are an array column made from a table of weights, so neither features nor shuffles are repeated a
+    trial, and the generated code doesn't grow with their number.
     """
     names = list(trials)
+    keys = list(dict.fromkeys(k for w in trials.values() for k in w))
+    table = F.array(*[F.array(*[F.lit(float(trials[t].get(k, 0.0))) for k in keys]) for t in names])
     g = gold.select("query_id", F.col("target_id").alias("gold_id"))
-    scored = feats.join(g, "query_id").withColumn("s", F.array(*[linear_score(trials[t]) for t in names]))
+    score = lambda w: F.round(sum((w[i] * F.col(k) for i, k in enumerate(keys)), F.lit(0.0)), DIGITS)
+    scored = feats.join(g, "query_id").select("query_id", "target_id", "gold_id", "rank", F.transform(table, score).alias("s"))
     own = scored.filter("target_id = gold_id").groupBy("query_id").agg(F.min(F.struct("rank", "target_id", "s")).alias("own"))
-    rows = scored.join(own, "query_id")
-    better = lambda i: F.count_if((F.col("s")[i] > F.col("own.s")[i]) | ((F.col("s")[i] == F.col("own.s")[i]) & (F.struct("rank", "target_id") < F.struct("own.rank", "own.target_id"))))
-    found = rows.groupBy("query_id").agg(F.array(*[better(i) + 1 for i in range(len(names))]).alias("r"))
+    rows = scored.join(own, "query_id").withColumn("earlier", F.struct("rank", "target_id") < F.struct("own.rank", "own.target_id"))
+    beats = F.transform("s", lambda x, i: (x > F.get("own.s", i)) | ((x == F.get("own.s", i)) & F.col("earlier")))
+    found = rows.select("query_id", F.posexplode(beats).alias("i", "beats")).groupBy("query_id", "i").agg((F.count_if("beats") + 1).alias("r"))
     first = base.join(g, "query_id").filter("target_id = gold_id").groupBy("query_id").agg(F.min("rank").alias("base_rank"))
-    out = g.select("query_id").join(found, "query_id", "left").join(first, "query_id", "left")
-    out = out.select("query_id", "base_rank", F.posexplode(F.coalesce("r", F.array_repeat(F.lit(None).cast("long"), len(names)))).alias("i", "r"))
+    every = g.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("i"))
+    out = every.join(found, ["query_id", "i"], "left").join(first, "query_id", "left")
     return out.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("trial"), "query_id", F.coalesce("r", "base_rank").alias("gold_rank"))
 
 

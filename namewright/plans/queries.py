@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import reach_workers
@@ -50,7 +50,7 @@ def _targets(spark, d):
 
 def _gold(spark, d):
     t = _targets(spark, d).select("target_id", F.col("refmet_normalized").alias("n"))
-    rows = _lab(spark, d).join(F.broadcast(t), F.col("refmet_normalized") == F.col("n"), "left")
+    rows = _lab(spark, d).join(t, F.col("refmet_normalized") == F.col("n"), "left")
     rows = decide.split_rows(rows, "query_i", F.col("target_id").isNotNull())
     return rows.select(F.col("query_i").alias("query_id"), "target_id", "split")
 
@@ -135,7 +135,7 @@ def synonym_summary(spark, d):
 
 
 def normalize_documents(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(T.normalize(F.regexp_replace("text", "[^\\x00-\\x7F]", ""), "n3"), "\\s+", " ").cast("binary")).alias("digest"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(T.normalize(F.col("text"), "n3"), "\\s+", " ").cast("binary")).alias("digest"))
 
 
 def name_keys(spark, d):
@@ -204,7 +204,7 @@ def compact_key_matches(spark, d):
 
 
 def best_mappings(spark, d):
-    out = corpus.best_mappings(_targets(spark, d), corpus.unique_surfaces(_parts(spark, d).filter("row_id % 3 <> 0")))
+    out = corpus.best_mappings(_targets(spark, d), corpus.unique_surfaces(_parts(spark, d)))
     return out.select("target_id", "method", F.array_join("cids", "|").alias("cids"), F.col("n_cids").cast("long").alias("n_cids"))
 
 
@@ -367,7 +367,7 @@ def ablation_core(spark, d):
 
 
 def weight_search(spark, d):
-    trials = {f"trial_{i:03d}": w for i, w in enumerate(rerank.uniform_trials(24))}
+    trials = {f"trial_{i:03d}": w for i, w in enumerate(rerank.uniform_trials(240))}
     gold = _gold(spark, d).filter("split = 'validation'")
     feats = _features(spark, d, True).join(gold.select("query_id"), "query_id", "left_semi")
     return rerank.best_trial(rerank.trial_ranks(feats, _neighbors(spark, d), gold, trials))
@@ -383,13 +383,22 @@ def identity_ranks(spark, d):
 
 
 def error_taxonomy(spark, d):
-    lab, t = _lab(spark, d), _targets(spark, d)
-    pred = _pred(spark, d)
-    rows = pred.join(lab.select(F.col("query_i").alias("query_id"), F.col("metabolite_normalized").alias("q"), F.col("refmet_normalized").alias("g")), "query_id")
-    rows = rows.join(t.select(F.col("target_id").alias("predicted_target_id"), F.col("refmet_normalized").alias("p"), F.col("refmet_cids").alias("p_cids")), "predicted_target_id")
-    rows = rows.select("query_id", "q", "g", "p", F.col("top1_exact_correct").alias("exact_ok"), F.col("top1_exact_correct").alias("identity_ok"), F.col("gold_rank").alias("exact_rank"), F.col("gold_rank").alias("identity_rank"), F.col("p_cids").alias("g_cids"), "p_cids")
+    t = corpus.attach_cids(_targets(spark, d), corpus.targeted_lookup(_parts(spark, d), _targets(spark, d).select(F.col("refmet_normalized").alias("normalized_name"))))
+    gold, ranked = _gold(spark, d), rerank.rerank(_features(spark, d), CORE)
+    ranks = rerank.identity_ranks(ranked, gold, t)
+    q = _lab(spark, d).select(F.col("query_i").alias("query_id"), F.col("metabolite_normalized").alias("q"))
+    name = lambda key, text, cids: t.select(F.col("target_id").alias(key), F.col("refmet_normalized").alias(text), F.col("refmet_cids").alias(cids))
+    top = ranked.filter("new_rank = 1").select("query_id", F.col("target_id").alias("top_id"))
+    rows = gold.select("query_id", F.col("target_id").alias("gold_id")).join(q, "query_id").join(top, "query_id").join(ranks, "query_id", "left")
+    rows = rows.join(name("gold_id", "g", "g_cids"), "gold_id").join(name("top_id", "p", "p_cids"), "top_id")
+    first = lambda rank: F.coalesce(F.col(rank) == 1, F.lit(False))
+    rows = rows.select("query_id", "q", "g", "p", first("exact_rank").alias("exact_ok"), first("identity_rank").alias("identity_ok"), "exact_rank", "identity_rank", "g_cids", "p_cids")
     pairs = rows.select("g", "p").distinct().withColumn("ratio", udfs.sequence_ratio(F.col("g"), F.col("p"), 120))
-    return decide.taxonomy(rows.join(pairs, ["g", "p"])).groupBy("primary_category").agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 6).alias("mean_ratio"))
+    found = decide.taxonomy(rows.join(pairs, ["g", "p"]))
+    total = Window.partitionBy()
+    return found.groupBy("primary_category").agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 6).alias("mean_ratio"), F.round(F.avg(F.col("identity_ok").cast("double")), 6).alias("identity_rate")).withColumn(
+        "share", F.round(F.col("n") / F.sum("n").over(total), 6)  # a row a category
+    )
 
 
 def partial_surface_audit(spark, d):

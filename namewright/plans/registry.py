@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .oracle import ORACLE_SQL
-from .queries import QUERIES
+from . import oracle, pool_queries, queries
+
+QUERIES = {**queries.QUERIES, **pool_queries.QUERIES}
+ORACLE_SQL = {**oracle.ORACLE_SQL, **pool_queries.ORACLE_SQL}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from namewright.functions import text as T
-from namewright.functions import udfs
+from namewright.functions import corruption, udfs
 
 
 @pytest.fixture(scope="module")
@@ -85,8 +85,8 @@ def test_sequence_ratio(spark):
 
 def test_corruption_depends_on_the_row_alone(spark):
     df = spark.createDataFrame([(i, f"alpha beta-{i}") for i in range(50)], "id long, t string")
-    run = lambda d, level: {r.id: r.y for r in d.select("id", udfs.corrupt(F.col("t"), F.col("id"), level).alias("y")).collect()}
+    run = lambda d, level: {r.id: r.y for r in d.select("id", corruption.corrupt(F.col("t"), F.col("id"), level).alias("y")).collect()}
     assert run(df, 0.3) == run(df.repartition(7), 0.3)
     assert run(df, 0.0) == {r.id: r.t for r in df.collect()} and sum(v != f"alpha beta-{k}" for k, v in run(df, 0.3).items()) > 40
     with pytest.raises(ValueError):
-        udfs.corrupt(F.col("t"), F.col("id"), 0.1, operations=("shout",))
+        corruption.corrupt(F.col("t"), F.col("id"), 0.1, operations=("shout",))
