@@ -41,7 +41,9 @@ def ids_of(path, text):
 def test_pieces_give_the_ids_of_whole_texts(path, odd_rows):
     import pyarrow as pa
 
-    texts = [r[1] for r in odd_rows] + [" lead", "trail ", "two  spaces", "l'été d'1 fois 12's", "x\n\ny \n z", "İ ΑΣ ς", "a\u0301b"]
+    texts = [r[1] for r in odd_rows] + [" lead", "trail ", "two  spaces", "l'été d'1 fois 12's", "x\n\ny \n z", "İ ΑΣ ς", "a\u0301b", "x İ... y", "İ,", "aİ.", "\u212a. ﬁ,"]
+    rng, signs = random.Random(5), [*"abZ09.,;'-!éßİıſ\u212a", "İ.", " ", " ", " ", "\n", "\u0301", "ﬁ", " the"]
+    texts += ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3000)]
     enc, tok = encoding.PieceEncoder(path, cache=3000), Tokenizer.from_file(path)
     got = [ids[a:b].tolist() for _, ids, bounds in enc.slices(pa.array(texts)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
@@ -134,6 +136,16 @@ def test_mixture(make_docs):
     assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in again}
 
 
+def test_repeated_rows_keep_columns_of_any_name(make_docs):
+    docs = make_docs([(i, "w " * (i % 9), "en", f"s{i % 3}") for i in range(60)])
+    taken = {r.doc_id: r.taken for r in mixture.mix(docs).collect()}
+    got = mixture.repeat_rows(docs)
+    assert got.columns == docs.columns
+    times = Counter(r.doc_id for r in got.collect())
+    assert all(times[i] * (i % 9) == taken[i] for i in range(60) if i % 9) and all(times[i] == 1 for i in range(0, 60, 9))
+    assert {(r.target, r.whole, r.upto, r.source_size, r.plan_source) for r in got.collect()} == {(1.5, 1, 2, 3, "p")}
+
+
 def test_mixture_caps_a_small_source(make_docs):
     rows = [(i, "a b c d", "en", "a") for i in range(100)] + [(1000, "x y", "en", "b")]
     got = mixture.mix(make_docs(rows)).collect()
@@ -251,6 +263,15 @@ def test_jaccard_join(make_docs, odd, odd_rows):
     assert kept.columns == odd.columns and kept.count() == len({c for _, c in brute_components(rows).values()})
 
 
+def test_jaccard_join_of_repeated_ids(make_docs):
+    a, b, c = "a b c d e f g", "h i j k l m n o", "p q r s t u v"
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, ""), (5, c), (6, None)]
+    want = {(1, 3, 1), (1, 4, 1), (2, 3, 1), (3, 4, 1), (4, 3, 4), (4, 0, 4), (5, 3, 4), (6, 0, 6)}
+    for order in (rows, rows[::-1]):
+        got = partenum.jaccard_components(make_docs(order)).collect()
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want and len(got) == len(rows)
+
+
 def test_jaccard_join_of_large_groups(make_docs, monkeypatch):
     monkeypatch.setattr(partenum, "SMALL", 3)
     rng = random.Random(5)
