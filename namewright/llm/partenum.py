@@ -402,6 +402,14 @@ class _Join:
         total = self.sets.agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("features")).first()
         self.n_sets, self.n_features = total["sets"], total["features"] or 0
 
+    def first_of_equals(self) -> DataFrame:
+        """Rows without the documents all of whose sets a smaller document has: equal sets have equal signatures, so one gives them all.
+
+        Spark broadcasts the ids to be left out only where they are few; else rows are joined by doc_id.
+        """
+        later = self.known.filter("doc_id is not null").groupBy(F.col("doc_id").alias("later")).agg(F.max(F.col("rep") == F.col("doc_id")).alias("first")).filter("not first")
+        return self.rows.filter("doc_id is not null").join(later, F.col("doc_id") == F.col("later"), "left_anti")
+
     def frequent(self) -> np.ndarray:
         """Features of several documents of a sample by md5 of doc_id. They only steer which signatures are made, never which links are found."""
         share = max(SHARE, min(1.0, SAMPLE / max(1, self.n_sets)))
@@ -423,7 +431,7 @@ class _Join:
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """(u, v) of pairs of documents, and of those of large groups with the group's least."""
         bits = min(64, 24 + max(1, self.n_features).bit_length())  # shorter ones would make candidates by chance
-        blocks = self.rows.filter("doc_id is not null").mapInArrow(_signature_blocks(4 * self.n, bits, self.frequent()), "bucket int, base long, sigs binary, docs binary, sizes binary")
+        blocks = self.first_of_equals().mapInArrow(_signature_blocks(4 * self.n, bits, self.frequent()), "bucket int, base long, sigs binary, docs binary, sizes binary")
         found = written(blocks.repartition(self.n, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "u long, v long, large boolean"), "groups")
         return found.select("u", "v").distinct(), found.filter("large").select("u", "v").distinct()
 
