@@ -405,9 +405,11 @@ class _Join:
     def first_of_equals(self) -> DataFrame:
         """Rows without the documents all of whose sets a smaller document has: equal sets have equal signatures, so one gives them all.
 
-        Spark broadcasts the ids to be left out only where they are few; else rows are joined by doc_id.
+        The ids to be left out are written first, so that their size is known before any text is dealt: below Spark's
+        threshold they are broadcast, beyond it rows are joined by doc_id.
         """
-        later = self.known.filter("doc_id is not null").groupBy(F.col("doc_id").alias("later")).agg(F.max(F.col("rep") == F.col("doc_id")).alias("first")).filter("not first")
+        later = self.known.filter("doc_id is not null").groupBy(F.col("doc_id").alias("later")).agg(F.max(F.col("rep") == F.col("doc_id")).alias("first"))
+        later = written(later.filter("not first").select("later"), "later")
         return self.rows.filter("doc_id is not null").join(later, F.col("doc_id") == F.col("later"), "left_anti")
 
     def frequent(self) -> np.ndarray:

@@ -272,6 +272,20 @@ def test_jaccard_join_of_repeated_ids(make_docs):
         assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want and len(got) == len(rows)
 
 
+def test_equal_sets_send_signatures_once(make_docs, spark):
+    rows = [(3, "a b c d e f"), (1, "A b  c d e f"), (1, "x y z"), (2, "x y z"), (2, "p q r s t u"), (5, "a b c d e f"), (5, "x y z"), (4, None), (None, "a b c d e f")]
+    want = [1, 1, 2, 2, 4]
+    for threshold in ("10MB", "-1"):  # broadcast, and beyond its bound
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = partenum._Join(make_docs(rows)).first_of_equals()
+            assert sorted(r["doc_id"] for r in got.collect()) == want
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (threshold == "10MB")
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_jaccard_join_of_large_groups(make_docs, monkeypatch):
     monkeypatch.setattr(partenum, "SMALL", 3)
     rng = random.Random(5)
