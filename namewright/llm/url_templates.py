@@ -1,8 +1,9 @@
 """URL filters by a path-template tree, with DataFrame functions only.
 
 The tree of a host grows a level at a time. A branch is a path segment, with variable parts generalised (numbers, hex,
-long identifiers). A branch stays apart only if its labelled pages differ from those of its siblings by a two-proportion
-z-test; all similar ones are merged into the wildcard ``*``. Templates whose smoothed purity is low are rejected.
+long identifiers). Sibling branches are merged unless their labelled pages differ by a two-proportion z-test; most merge into
+the wildcard ``*``, those that differ from it alike into a wildcard of their own. Templates whose smoothed purity is low are
+rejected.
 """
 
 from __future__ import annotations
@@ -46,30 +47,39 @@ def _branch(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, ext)).otherwise(segment)
 
 
-def _apart(stats: DataFrame) -> DataFrame:
-    """(k_host, k_template, k_branch) of branches that stay apart: in each round those that differ from the rest on the side of the one that differs most.
+def _clusters(stats: DataFrame) -> DataFrame:
+    """(k_host, k_template, k_branch, k_name): branches in clusters whose members don't differ from one another.
 
-    Rounds go on until no branch differs; nodes where a round found none are done.
+    All branches of a node begin as one cluster. In each round a cluster with branches that differ from its other branches is
+    cut in two: those on the side of the one that differs most, and the rest. Both are tested again by themselves, until none
+    differs; so branches that differ from the rest alike stay together. A cluster of one branch has its name. The rest of all
+    rounds is ``*``, where branches without labels belong too; other clusters are ``*`` and the side taken in each round.
     stats: every branch with labelled pages. Small ones aren't tested, but count in the rest that the others are tested against.
     """
-    out = None
+    keys = ("host", "template", "cluster")
+    same = lambda prefix: (F.col("host") == F.col(prefix + "host")) & (F.col("template") == F.col(prefix + "template")) & (F.col("cluster") == F.col(prefix + "cluster"))
+    named = lambda prefix: [F.col(k).alias(prefix + k) for k in keys]
+    stats, done = stats.withColumn("cluster", F.lit("")), None
     while True:
-        whole = stats.groupBy(F.col("host").alias("w_host"), F.col("template").alias("w_template")).agg(F.sum("l").alias("wl"), F.sum("b").alias("wb"))
+        whole = stats.groupBy(*named("w_")).agg(F.sum("l").alias("wl"), F.sum("b").alias("wb"))
         rest_l, rest_b = F.col("wl") - F.col("l"), F.col("wb") - F.col("b")
         pooled = F.try_divide("wb", "wl")
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "l") + F.try_divide(F.lit(1), rest_l)))
         z = F.coalesce(F.try_divide(F.try_divide("b", "l") - F.try_divide(rest_b, rest_l), spread), F.lit(0.0))
-        tested = stats.join(whole, (F.col("host") == F.col("w_host")) & (F.col("template") == F.col("w_template"))).filter((F.col("l") >= LEAST) & (rest_l >= LEAST))
-        tested = tested.select(F.col("host").alias("k_host"), F.col("template").alias("k_template"), F.col("branch").alias("k_branch"), z.alias("z")).filter(F.abs("z") > Z)
-        side = tested.groupBy(F.col("k_host").alias("s_host"), F.col("k_template").alias("s_template")).agg(F.signum(F.max_by("z", F.abs("z"))).alias("side"))
-        met = (F.col("k_host") == F.col("s_host")) & (F.col("k_template") == F.col("s_template")) & (F.signum("z") == F.col("side"))
-        found = written(tested.join(side, met).select("k_host", "k_template", "k_branch"), "apart")
-        out = found if out is None else out.unionByName(found)
-        if found.isEmpty():
-            return out
-        node = (F.col("host") == F.col("k_host")) & (F.col("template") == F.col("k_template"))
-        rest = stats.join(found.select("k_host", "k_template").distinct(), node, "left_semi")
-        stats = written(rest.join(found, node & (F.col("branch") == F.col("k_branch")), "left_anti"), "branches")
+        tested = stats.join(whole, same("w_")).withColumn("z", F.when((F.col("l") >= LEAST) & (rest_l >= LEAST) & (F.abs(z) > Z), z))
+        tested = written(tested.select(*keys, "branch", "l", "b", "z"), "tested")
+        side = tested.groupBy(*named("s_")).agg(F.signum(F.max_by("z", F.abs("z"))).alias("side"))
+        sided = tested.join(side, same("s_"))
+        still = sided.filter("side is null").select("host", "template", "branch", "cluster")
+        done = still if done is None else done.unionByName(still)
+        step = F.when(F.signum("z") == F.col("side"), F.lit("1")).otherwise(F.lit("0"))
+        cut = written(sided.filter("side is not null").select("host", "template", "branch", "l", "b", F.concat("cluster", step).alias("cluster")), "branches")
+        if cut.isEmpty():
+            break
+        stats = cut
+    sizes = done.groupBy(*named("c_")).agg(F.count("*").alias("members"))
+    name = F.when(~F.contains("cluster", F.lit("1")), F.lit("*")).when(F.col("members") == 1, F.col("branch")).otherwise(F.concat(F.lit("*"), F.col("cluster")))
+    return done.join(sizes, same("c_")).select(F.col("host").alias("k_host"), F.col("template").alias("k_template"), F.col("branch").alias("k_branch"), name.alias("k_name"))
 
 
 def template_tree(paths: DataFrame) -> DataFrame:
@@ -91,9 +101,9 @@ def template_tree(paths: DataFrame) -> DataFrame:
             break
         rows = rows.withColumn("branch", F.when(here, _branch(F.element_at("segments", level + 1))))
         stats = rows.filter(here).groupBy("host", "template", "branch").agg(F.sum("n_labelled").alias("l"), F.sum("n_bad").alias("b"))
-        apart = _apart(written(stats.filter("l > 0"), "branches"))
-        rows = rows.join(apart, (F.col("host") == F.col("k_host")) & (F.col("template") == F.col("k_template")) & (F.col("branch") == F.col("k_branch")), "left")
-        step = F.when(~here, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("k_branch", F.lit("*"))))
+        clusters = _clusters(written(stats.filter("l > 0"), "branches"))
+        rows = rows.join(clusters, (F.col("host") == F.col("k_host")) & (F.col("template") == F.col("k_template")) & (F.col("branch") == F.col("k_branch")), "left")
+        step = F.when(~here, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("k_name", F.lit("*"))))
         rows = written(rows.select("host", "path", "n_labelled", "n_bad", "segments", step.alias("template")), "level")
         level += 1
     rows = rows.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.greatest(F.size("segments") - level, F.lit(0)))))

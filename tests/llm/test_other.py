@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 
@@ -108,6 +109,72 @@ def test_url_templates_grow_to_deep_branches_and_set_all_apart(spark):
     assert len({r.template for r in got if r.host == "wide.org"}) == 5
 
 
+def brute_templates(marks):
+    """Template of each (path, bad); one host, all labelled: branches of a node are cut in two until none differs from the others."""
+    def branch(segment):
+        stem, ext = re.fullmatch(r"(.*?)(\.[A-Za-z]{1,5})?", segment, re.S).groups("")
+        for pattern, kind in ((r"[0-9]+", "<n>"), (r"(?=.*[0-9])[0-9a-fA-F-]{8,}", "<h>"), (r".*[0-9].*|.{41,}", "<v>")):
+            if re.fullmatch(pattern, stem):
+                return kind + ext
+        return segment
+
+    def cut(members, at):
+        n, bad = (sum(m[i] for m in members.values()) for i in (0, 1))
+        z = {}
+        for name, (l, b) in members.items():
+            if l >= 5 and n - l >= 5 and 0 < bad < n:
+                p = bad / n
+                z[name] = (b / l - (bad - b) / (n - l)) / math.sqrt(p * (1 - p) * (1 / l + 1 / (n - l)))
+        far = {name: x for name, x in z.items() if abs(x) > 2.58}
+        if not far:
+            label = "*" if "1" not in at else next(iter(members)) if len(members) == 1 else "*" + at
+            return dict.fromkeys(members, label)
+        up = max(far.values(), key=abs) > 0
+        one = {name for name, x in far.items() if (x > 0) == up}
+        parts = ({k: v for k, v in members.items() if (k in one) == s} for s in (True, False))
+        return {k: v for p, a in zip(parts, ("1", "0"), strict=True) for k, v in cut(p, at + a).items()}
+
+    found = [""] * len(marks)
+    split = [p.removeprefix("/").split("/") for p, _ in marks]
+    for level in range(max(map(len, split))):
+        nodes = {}
+        for i, s in enumerate(split):
+            if len(s) > level:
+                nodes.setdefault(found[i], []).append(i)
+        for rows in nodes.values():
+            members = {}
+            for i in rows:
+                m = members.setdefault(branch(split[i][level]), [0, 0])
+                m[0] += 1
+                m[1] += marks[i][1]
+            label = cut(members, "")
+            for i in rows:
+                found[i] += "/" + label[branch(split[i][level])]
+    return found
+
+
+def test_url_templates_agree_with_a_tree_by_brute_force(spark):
+    rng = random.Random(5)
+    share = {name: rng.choice([0.02, 0.02, 0.5, 0.95]) for name in "abcdefghijkl"}
+    marks = []
+    for i in range(1500):
+        a, b = rng.choice("abcdefghijkl"), rng.choice(["x", "y", "z-9", "20", "p.html"])
+        bad = rng.random() < (1 - share[a] if b == "y" and a in "abc" else share[a])
+        marks.append((f"/{a}/{b}" + f"/{i}" * rng.randrange(2), bad))
+    pages = spark.createDataFrame([(i, "http://h.org" + p) for i, (p, _) in enumerate(marks)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(marks)], "page_id long, bad boolean")
+    want = brute_templates(marks)
+    got = {r.page_id: (r.template, r.purity, r.verdict) for r in url_templates.judge(pages, labels, []).collect()}
+    assert [got[i][0] for i in range(len(marks))] == ["h.org" + t for t in want]
+    first = {t.split("/")[1] for t in want}
+    assert any(t.startswith("*") and t != "*" for t in first) and len(first) < len(share)  # some branches are merged beside the rest
+    prior = (sum(not b for _, b in marks) + 8 * sum(not b for _, b in marks) / len(marks)) / (len(marks) + 8)
+    for i, t in enumerate(want):
+        same = [b for (_, b), u in zip(marks, want, strict=True) if u == t]
+        purity = (same.count(False) + 8 * prior) / (len(same) + 8)
+        assert abs(got[i][1] - purity) < 1e-9 and got[i][2] == ("block" if purity < 0.5 else "allow")
+
+
 def test_secret_scan(spark, make_docs, odd):
     rng = random.Random(3)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
