@@ -63,10 +63,12 @@ class ContentTable:
             self.slots[i] = e
 
 
-def grace(records: Iterable[tuple[int, str, list]], merge, budget: int = BUDGET, level: int = 0) -> Iterator[tuple[int, str, list]]:
+def grace(records: Iterable[tuple[int, str, list]], merge, budget: int = BUDGET, level: int = 0) -> Iterator[tuple]:
     """(hash, content, state) once for each distinct content; ``merge(into, state)`` adds a further record's state.
 
-    The spill files are private to the task: they are deleted with it, and a task that is run again writes its own.
+    What ``merge`` returns, unless it is None, comes at once as (None, None, it); so a state needn't hold what its records leave.
+    The first record of a content is always the one that the others are merged into, through all levels of spill files. The
+    files are private to the task: they are deleted with it, and a task that is run again writes its own.
     """
     table = ContentTable()
     records = iter(records)
@@ -74,8 +76,8 @@ def grace(records: Iterable[tuple[int, str, list]], merge, budget: int = BUDGET,
         e, new = table.find(h, content)
         if new:
             table.states[e] = state
-        else:
-            merge(table.states[e], state)
+        elif (left := merge(table.states[e], state)) is not None:
+            yield None, None, left
         if table.held > budget and len(table.hashes) > 1 and level * FAN_BITS < 64:
             break
     else:
@@ -112,12 +114,16 @@ def _before(a: tuple, b: tuple) -> bool:
 
 
 def _local(batches):
-    """Of an input partition: a row for each document (row, doc_id, copy_of), and for each distinct text its summary."""
+    """Of an input partition: a row for each document (row, doc_id, copy_of), and for each distinct text its summary.
+
+    copy_of is the first row with the text. Later rows go out when they meet it, so the table holds contents only, however many
+    copies they have; the first row goes last, with the content, its rows' number, and the least doc_id and its row.
+    """
     base, out = TaskContext.get().partitionId() << 33, []
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("copy_of", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("content", pa.string())])
+    schema = pa.schema([*((c, pa.int64()) for c in ("row", "doc_id", "copy_of", "n", "h", "least_id", "least_row")), ("content", pa.string())])
 
     def flush():
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        cols = list(zip(*out, strict=True)) if out else [[]] * 8
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
@@ -127,33 +133,40 @@ def _local(batches):
             ids = batch.column(0).to_pylist()
             hashes = batch.column(2).to_pylist()
             for i, (d, h) in enumerate(zip(ids, hashes, strict=True)):
-                yield h, batch.column(1)[i].as_py(), [(d, at), 1, [(d, at)]]
+                yield h, batch.column(1)[i].as_py(), [at, d, (d, at), 1]
                 at += 1
 
     def merge(into, state):
-        if _before(state[0], into[0]):
-            into[0] = state[0]
-        into[1] += state[1]
-        into[2] += state[2]
-
-    for h, content, (first, n, members) in grace(rows(), merge):
-        for d, at in members:
-            lead = at == first[1]
-            out.append((at, d, first[1], n if lead else None, h if lead else None, content if lead else None))
-            if len(out) >= 2000:
-                yield flush()
+        if _before(state[2], into[2]):
+            into[2] = state[2]
+        into[3] += state[3]
+        return state[0], state[1], into[0], None, None, None, None, None
+
+    size = 0
+    for h, content, state in grace(rows(), merge):
+        if h is not None:
+            row, doc, least, n = state
+            state = row, doc, row, n, h, *least, content
+            size += len(content)
+        out.append(state)
+        if len(out) >= 2000 or size > 4 << 20:
+            yield flush()
+            size = 0
     yield flush()
 
 
 def _global(batches):
-    """Of a hash partition: for each text of an input partition (copy_of) the row that stays, the group's size and digest."""
+    """Of a hash partition: for each text of an input partition (copy_of) the row that stays, the group's size and digest.
+
+    A text's state holds one row of each input partition that has it.
+    """
     schema = pa.schema([("lead", pa.int64()), ("keep_row", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string())])
 
     def rows():
         for batch in batches:
-            row, doc, n, h = (batch.column(i).to_pylist() for i in (0, 1, 2, 3))
+            lead, doc, row, n, h = (batch.column(i).to_pylist() for i in range(5))
             for i in range(len(row)):
-                yield h[i], batch.column(4)[i].as_py(), [(doc[i], row[i]), n[i], [row[i]]]
+                yield h[i], batch.column(5)[i].as_py(), [(doc[i], row[i]), n[i], [lead[i]]]
 
     def merge(into, state):
         if _before(state[0], into[0]):
@@ -186,9 +199,9 @@ def exact_dedup(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     norm = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, " ")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("content")).select("doc_id", "content", F.xxhash64("content").alias("h"))
-    local = written(rows.mapInArrow(_local, "row long, doc_id long, copy_of long, n long, h long, content string"), "dedup")
+    local = written(rows.mapInArrow(_local, "row long, doc_id long, copy_of long, n long, h long, least_id long, least_row long, content string"), "dedup")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = local.filter("content is not null").select("row", "doc_id", "n", "h", "content").repartition(n, "h").mapInArrow(_global, "lead long, keep_row long, keep_id long, group_size long, text_sha256 string")
+    groups = local.filter("content is not null").select("row", "least_id", "least_row", "n", "h", "content").repartition(n, "h").mapInArrow(_global, "lead long, keep_row long, keep_id long, group_size long, text_sha256 string")
     return local.select("row", "doc_id", "copy_of").join(groups, F.col("copy_of") == F.col("lead")).select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )

@@ -103,6 +103,33 @@ def test_grace_spills_and_recurses():
     assert {c: s[0] for _, c, s in grace_dedup.grace(same_hash, add, budget=500)} == Counter(contents[:200])
 
 
+def test_grace_holds_no_copies():
+    """Copies leave as they come, those of spilled texts too; each names the first record with its text."""
+    texts = [f"text {i % 300} " * 3 for i in range(6000)]
+    records = [(zlib.crc32(t.encode()) << 28, t, [i, 1]) for i, t in enumerate(texts)]
+
+    def add(into, state):
+        into[1] += state[1]
+        return state[0], into[0]
+
+    left, ends = {}, {}
+    for h, content, state in grace_dedup.grace(records, add, budget=3000):
+        if h is None:
+            left[state[0]] = state[1]
+        else:
+            ends[content] = state
+    assert left == {i: i % 300 for i in range(300, 6000)}
+    assert ends == {texts[i]: [i, 20] for i in range(300)}
+
+
+def test_exact_dedup_of_many_copies(make_docs):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["", "same  text", "x " * 400, f"own {i % 700}"])) for i in rng.sample(range(3000), 3000)]
+    got = grace_dedup.exact_dedup(make_docs(rows)).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(d, min(g), len(g)) for g in brute_groups(rows).values() for d in g}
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
 def test_mixture(make_docs):
     rows = rng_docs(400)
     got = mixture.mix(make_docs(rows)).collect()
