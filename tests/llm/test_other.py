@@ -53,6 +53,27 @@ def test_ball_tree_prunes():
         assert sorted(zip(-score[row == q], ids[row == q], strict=True)) == want
 
 
+def test_queries_visit_few_shards_of_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(30, 8)) * 5
+    rows = [(i, (centers[i % 30] + rng.normal(size=8) / 20).astype(np.float32).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    visits, routes = [], ball_tree._routes
+
+    def counted(*args):
+        out = routes(*args)
+        visits.append(out.count())
+        return out
+
+    ball_tree._routes = counted
+    try:
+        got = ball_tree.top_k(df, df.vec_id % 50 == 0, shard_size=60).collect()
+    finally:
+        ball_tree._routes = routes
+    assert {tuple(r) for r in got} == brute_top(rows)
+    assert len(visits) == 2 and sum(visits) < 0.5 * 60 * 49  # 60 queries, 50 shards or more
+
+
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
