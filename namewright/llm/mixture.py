@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: White space, or a word with its first character set apart.
+WORDS = r"[\x20\x09-\x0D]+|([^\x20\x09-\x0D])[^\x20\x09-\x0D]*"
 #: Order values of a source's documents have 48 bits; sums over their upper 12 come first, then over the next 12 of one bucket, then documents.
 LOW_BITS = (36, 24, 0)
 
@@ -18,8 +19,8 @@ def order_value(doc_id: Column, seed: int) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Number of words; null has none."""
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of words; null has none. Words shrink to a character each, so a long text makes no list of all its words."""
+    return F.coalesce(F.length(F.regexp_replace(text.cast("string"), WORDS, "$1")), F.lit(0)).cast("long")
 
 
 def water_fill(sources: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
