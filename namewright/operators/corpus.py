@@ -77,12 +77,15 @@ def best_mappings(targets: DataFrame, surfaces: DataFrame, names: int = 20) -> D
 
 
 def mapping_status(lab: DataFrame, surfaces: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Each lab row over its name columns: the cids that any of them meets and whether none, one or several."""
+    """Each lab row over its name columns: the cids that any of them meets and whether none, one or several.
+
+    Both joins are merges: either side grows with the corpus, and by the size of its files Spark would broadcast lists of cids a row.
+    """
     long = lab.select("query_i", F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("name")) for c in columns])).alias("x")).select("query_i", "x.*")
     long = long.withColumn("normalized_name", T.normalize(F.col("name"), "n3")).filter("normalized_name <> ''")
-    hits = long.join(surfaces, "normalized_name").groupBy("query_i").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("candidate_cids")))).alias("cids"), F.sort_array(F.collect_set("source")).alias("sources"))
+    hits = long.join(surfaces.hint("merge"), "normalized_name").groupBy("query_i").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("candidate_cids")))).alias("cids"), F.sort_array(F.collect_set("source")).alias("sources"))
     n = F.coalesce(F.size("cids"), F.lit(0))
-    out = lab.select("query_i").join(hits, "query_i", "left").withColumn("n_cids", F.when(F.col("cids").isNull(), 0).otherwise(n))
+    out = lab.select("query_i").join(hits.hint("merge"), "query_i", "left").withColumn("n_cids", F.when(F.col("cids").isNull(), 0).otherwise(n))
     return out.withColumn("mapping_status", F.when(F.col("n_cids") == 0, "unmatched").when(F.col("n_cids") == 1, "exact_unique_cid").otherwise("exact_ambiguous_cid"))
 
 

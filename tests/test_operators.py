@@ -63,6 +63,22 @@ def test_ivf_rescore_recall_at_its_own_settings(spark, sf):
     assert len(exact & got) >= 0.9 * len(exact)
 
 
+def test_mapping_status_broadcasts_no_side_that_grows_with_the_corpus(spark, tmp_path):
+    names = spark.range(5000).select(F.col("id").alias("query_i"), F.concat(F.lit("n"), F.col("id") % 10).alias("name"))
+    names.union(spark.createDataFrame([(7, "n8"), (None, "n1")], "query_i long, name string")).write.parquet(f"{tmp_path}/lab")
+    spark.createDataFrame([(f"c{i}", f"N{k}") for k in range(1, 9) for i in range(k)], "cid string, name string").write.parquet(f"{tmp_path}/raw")
+    lab = spark.read.parquet(f"{tmp_path}/lab").withColumn("other", F.lit(""))
+    out = corpus.mapping_status(lab, corpus.unique_surfaces(spark.read.parquet(f"{tmp_path}/raw")), ("name", "other"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_i, []).append((r.n_cids, r.mapping_status))
+    status = ["unmatched", "exact_unique_cid", *["exact_ambiguous_cid"] * 7]
+    want = {i: [(n, status[n])] for i in range(5000) for n in [i % 10 if i % 10 < 9 else 0]} | {7: [(8, status[8])] * 2, None: [(0, "unmatched")]}
+    assert got == want
+
+
 def test_numbered_by_is_dense_and_ordered(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5)
     assert [(r.k, r.n) for r in tables.numbered_by(df, "k", "n").orderBy("k").collect()] == [(i, i) for i in range(1000)]
